@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscan.functions.text import contains_any, matches, squeeze, strip, text_or_empty
 from folioscan.functions.topics import topics_in
@@ -94,106 +94,143 @@ def question_flags(c: Column | str, rules: RuleSet) -> list[Column]:
     return [f(c, rules).alias(name) for name, f in FLAGS.items()]
 
 
-def intent_plan(
-    c: Column | str, rules: RuleSet, *, history: Column | None = None,
-    allowed_docs: Column | None = None,
-) -> Column:
-    """Plan struct for a question.
+def with_intent_plan(
+    df: DataFrame, rules: RuleSet, *, text: str = "text", history: str | None = None,
+    allowed_docs: str | None = None, name: str = "plan",
+) -> DataFrame:
+    """Add the plan struct of a question.
 
     Priority: comparison > steps for one topic > count and list > explanation
     that pre-empts a listing > listing > explanation > identification > general.
     ``history`` is an array of structs with ``query`` and ``answer_preview``; it
     supplies topics to anaphoric and step questions that name none.
+
+    Flags are computed in a projection of their own, so that no pattern is
+    matched twice however often the plan refers to it.
     """
-    q = strip(text_or_empty(c))
+    p = rules.patterns
+    q = strip(text_or_empty(text))
     low = F.lower(q)
-    own = topics_in(q, rules)
     none = F.array().cast("array<string>")
-    steps = is_steps_question(q, rules)
-    if history is None:
-        topics = own
-    else:
-        blob = F.array_join(
-            F.transform(
-                history,
-                lambda h: F.concat_ws(" ", text_or_empty(h["query"]), text_or_empty(h["answer_preview"])),
+    flags = df.select(
+        "*",
+        topics_in(q, rules).alias("_own"),
+        *[f(q, rules).alias(f"_{n}") for n, f in FLAGS.items()
+          if n not in ("is_comparison", "is_identification")],
+        matches(low, p["q_compare"]).alias("_compare"),
+        matches(low, p["q_compare_join"]).alias("_join"),
+        topics_in(low, rules).alias("_low_topics"),
+        matches(low, p["q_identify"]).alias("_identify"),
+        matches(low, p["q_multi_doc_extra"]).alias("_multi_extra"),
+        matches(low, p["q_title_field"]).alias("_title"),
+        matches(low, p["q_author_field"]).alias("_author"),
+    )
+    if history is not None:
+        blob = history_text(F.col(history))
+        flags = flags.withColumn(
+            "_past",
+            F.when(
+                (F.size("_own") == 0) & (F.col("_is_anaphora") | F.col("_is_steps")),
+                topics_in(blob, rules),
             ),
-            " ",
         )
-        from_history = F.when(is_anaphora(q, rules) | steps, topics_in(blob, rules)).otherwise(none)
-        topics = F.when(F.size(own) > 0, own).otherwise(F.coalesce(from_history, none))
-    n = F.size(topics)
-    p = rules.patterns
-    compare, count = is_comparison(q, rules), is_count(q, rules)
-    listing, explain = is_listing(q, rules), is_explanation(q, rules)
-    multi_doc = is_multi_doc(q, rules) | matches(low, p["q_multi_doc_extra"])
-    title, author = matches(low, p["q_title_field"]), matches(low, p["q_author_field"])
-    wants_fields = title | author
-    preempt = explain & ~count & ~steps & ~compare & ~wants_fields & (n <= 1)
+        topics = F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.coalesce("_past", none))
+    else:
+        topics = F.col("_own")
+    docs = none if allowed_docs is None else F.array_distinct(
+        F.filter(
+            F.transform(F.coalesce(F.col(allowed_docs), none), strip), lambda x: x != ""
+        )
+    )
+    staged = flags.select(
+        "*",
+        topics.alias("_topics"),
+        docs.alias("_docs"),
+        (F.col("_compare") | ((F.size("_low_topics") >= 2) & F.col("_join"))).alias("_cmp"),
+        (F.col("_is_multi_doc") | F.col("_multi_extra")).alias("_many"),
+        (F.col("_title") | F.col("_author")).alias("_fields"),
+    )
+    n = F.size("_topics")
+    compare, steps, count = F.col("_cmp"), F.col("_is_steps"), F.col("_is_count")
+    listing, explain, topic = F.col("_is_listing"), F.col("_is_explanation"), F.col("_is_topic")
+    fields, many, title, author = (F.col(c) for c in ("_fields", "_many", "_title", "_author"))
+    preempt = explain & ~count & ~steps & ~compare & ~fields & (n <= 1)
+    identify = topic & ~steps & ~explain & F.col("_identify")
+    primary = (
+        F.when(compare, "method_comparison")
+        .when(steps & (n <= 1), "single_target_steps")
+        .when(count & (listing | fields | many | explain), "doc_count_list")
+        .when(preempt, "method_explanation")
+        .when(listing & (many | (n > 0)), "doc_listing")
+        .when(explain & ((n > 0) | topic), "method_explanation")
+        .when(identify, "method_identification")
+        .otherwise("general_qa")
+    )
 
     def when_all(*pairs) -> Column:
         return F.array_compact(F.array(*[F.when(cond, F.lit(v)) for cond, v in pairs]))
 
-    yes = F.lit(True)
     actions = when_all(
-        (yes, "show_evidence"),
+        (F.lit(True), "show_evidence"),
         (count, "count_docs"),
-        (listing | wants_fields, "list_docs"),
+        (listing | fields, "list_docs"),
         (explain, "explain_method"),
         (steps, "extract_steps"),
         (compare, "compare_methods"),
-        (is_topic_question(low, rules), "identify_method"),
+        (topic, "identify_method"),
         (title, "show_title"),
         (author, "show_author"),
     )
     reasons = when_all(
         (count, "count_signal"),
-        (listing | wants_fields, "list_signal"),
+        (listing | fields, "list_signal"),
         (explain, "explanation_signal"),
         (steps, "steps_signal"),
         (compare, "comparison_signal"),
         (preempt, "explanation_preempts_listing"),
     )
-    primary = (
-        F.when(compare, "method_comparison")
-        .when(steps & (n <= 1), "single_target_steps")
-        .when(count & (listing | wants_fields | multi_doc | explain), "doc_count_list")
-        .when(preempt, "method_explanation")
-        .when(listing & (multi_doc | (n > 0)), "doc_listing")
-        .when(explain & ((n > 0) | is_topic_question(q, rules)), "method_explanation")
-        .when(is_identification(q, rules), "method_identification")
-        .otherwise("general_qa")
-    )
-    docs = none if allowed_docs is None else F.array_distinct(
-        F.filter(F.transform(F.coalesce(allowed_docs, none), strip), lambda x: x != "")
+    staged = staged.select(
+        "*", primary.alias("_primary"), actions.alias("_actions"), reasons.alias("_reasons")
     )
-    locked = F.size(docs) > 0
-    return F.struct(
-        primary.alias("primary_intent"),
-        actions.alias("requested_actions"),
-        topics.alias("target_topics"),
-        F.when(compare, topics).otherwise(none).alias("comparison_targets"),
+    main, locked = F.col("_primary"), F.size("_docs") > 0
+    plan = F.struct(
+        main.alias("primary_intent"),
+        F.col("_actions").alias("requested_actions"),
+        F.col("_topics").alias("target_topics"),
+        F.when(compare, F.col("_topics")).otherwise(none).alias("comparison_targets"),
         locked.alias("doc_locked"),
-        docs.alias("allowed_doc_ids"),
+        F.col("_docs").alias("allowed_doc_ids"),
         (
-            primary.isin("doc_count_list", "doc_listing")
-            | ((primary == "method_explanation") & multi_doc)
-            | ((primary == "single_target_steps") & ~locked)
+            main.isin("doc_count_list", "doc_listing")
+            | ((main == "method_explanation") & many)
+            | ((main == "single_target_steps") & ~locked)
         ).alias("needs_doc_aggregation"),
-        (primary == "method_explanation").alias("needs_explanation_expansion"),
-        (primary == "single_target_steps").alias("needs_steps_expansion"),
-        multi_doc.alias("is_multi_doc"),
-        (F.size(actions) > 2).alias("is_compound"),
+        (main == "method_explanation").alias("needs_explanation_expansion"),
+        (main == "single_target_steps").alias("needs_steps_expansion"),
+        many.alias("is_multi_doc"),
+        (F.size("_actions") > 2).alias("is_compound"),
         count.alias("is_count_query"),
         listing.alias("is_list_query"),
         explain.alias("is_explanation_query"),
         steps.alias("is_steps_query"),
         compare.alias("is_comparison_query"),
         when_all((title, "title"), (author, "author")).alias("requested_fields"),
-        F.when(F.size(reasons) > 0, F.array_join(reasons, "; "))
+        F.when(F.size("_reasons") > 0, F.array_join("_reasons", "; "))
         .otherwise("fallback_general")
         .alias("planner_reason"),
     )
+    return staged.select(*[F.col(c) for c in df.columns], plan.alias(name))
+
+
+def history_text(history: Column) -> Column:
+    """Questions and answer previews of past turns as one text."""
+    return F.array_join(
+        F.transform(
+            history,
+            lambda h: F.concat_ws(" ", text_or_empty(h["query"]), text_or_empty(h["answer_preview"])),
+        ),
+        " ",
+    )
 
 
 def history_has_context(history: Column, rules: RuleSet) -> Column:
@@ -227,13 +264,7 @@ def target_topics(c: Column | str, history: Column, rules: RuleSet) -> Column:
             lambda t: t != "",
         )
     )
-    blob = F.array_join(
-        F.transform(
-            history,
-            lambda h: F.concat_ws(" ", text_or_empty(h["query"]), text_or_empty(h["answer_preview"])),
-        ),
-        " ",
-    )
+    blob = history_text(history)
     follow = is_anaphora(c, rules) | is_multi_target(c, rules) | is_steps_question(c, rules)
     return (
         F.when(F.size(own) > 0, own)
