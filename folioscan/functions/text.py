@@ -36,12 +36,14 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def union_pattern(patterns: Iterable[str], flags: str = "iU") -> str:
+def union_pattern(patterns: Iterable[str], flags: str = "U") -> str:
     """One alternation, so that a text is scanned once for a whole list."""
     return f"(?{flags})" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def matches(c: Column | str, patterns: str | Iterable[str], flags: str = "iU") -> Column:
+def matches(c: Column | str, patterns: str | Iterable[str], flags: str = "U") -> Column:
+    """Any of the patterns occurs.  Rule patterns are lower case and meet
+    lower-cased text; ``flags="iU"`` ignores case on raw text (slower)."""
     pats = (patterns,) if isinstance(patterns, str) else tuple(patterns)
     if not pats:
         return F.lit(False)
@@ -122,9 +124,18 @@ def keywords(
     return kept if max_terms is None else F.slice(kept, 1, max_terms)
 
 
+def let(value: Column, body) -> Column:
+    """Bind a costly value to a lambda variable, so that it is computed once.
+
+    The optimizer inlines a column that is referenced once, also into the
+    lambda of a higher-order function, where it would run for every element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def count_hits(terms: Column, hay: Column) -> Column:
     """Number of terms that occur as substrings."""
-    return F.size(F.filter(terms, lambda t: F.contains(hay, t)))
+    return let(hay, lambda h: F.size(F.filter(terms, lambda t: F.contains(h, t))))
 
 
 def quote_snippet(c: Column | str, patterns: Iterable[str], max_len: int = 220) -> Column:
@@ -138,8 +149,8 @@ def quote_snippet(c: Column | str, patterns: Iterable[str], max_len: int = 220)
     pos = F.lit(None).cast("int")
     for p in reversed(list(patterns)):
         # the text before the hit gives its 0-based offset
-        before = F.regexp_extract(low, rf"(?isU)^(.*?)(?:{p})", 1)
-        pos = F.when(low.rlike(f"(?isU){p}"), F.length(before)).otherwise(pos)
+        before = F.regexp_extract(low, rf"(?sU)^(.*?)(?:{p})", 1)
+        pos = F.when(low.rlike(f"(?sU){p}"), F.length(before)).otherwise(pos)
     start = F.greatest(F.lit(0), pos - 80)
     end = F.least(F.length(s), pos + 140)
     around = strip(F.substring(s, start + 1, end - start))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from folioscan.functions.text import (
     contains_any,
+    col,
     count_matches,
     matches,
     squeeze,
@@ -22,6 +23,11 @@ def topic_text(c: Column | str) -> Column:
     return F.lower(squeeze(s))
 
 
+def normal(c: Column | str, ready: bool = False) -> Column:
+    """Squeezed lower case; ``ready`` says the column holds that already."""
+    return col(c) if ready else F.lower(squeeze(c))
+
+
 def topics_in(c: Column | str, rules: RuleSet) -> Column:
     """Names of the topics a text mentions, in rule order."""
     t = topic_text(c)
@@ -29,9 +35,9 @@ def topics_in(c: Column | str, rules: RuleSet) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def mentions(c: Column | str, topic: Topic) -> Column:
+def mentions(c: Column | str, topic: Topic, ready: bool = False) -> Column:
     """Direct mention: no camel-case or underscore splitting."""
-    return matches(F.lower(squeeze(c)), topic.mention)
+    return matches(normal(c, ready), topic.mention)
 
 
 def id_hint(doc_id: Column | str, topic: Topic) -> Column:
@@ -45,8 +51,8 @@ def supports(doc_id: Column | str, text: Column | str, topic: Topic) -> Column:
     return out if topic.strict_only else out | matches(topic_text(low), topic.mention)
 
 
-def strong_cue(c: Column | str, topic: Topic) -> Column:
-    t = F.lower(squeeze(c))
+def strong_cue(c: Column | str, topic: Topic, ready: bool = False) -> Column:
+    t = normal(c, ready)
     return (t != "") & matches(t, topic.strong or (rf"\b{topic.name.lower()}\b",))
 
 
@@ -84,9 +90,9 @@ def has_steps_signal(c: Column | str, rules: RuleSet) -> Column:
     )
 
 
-def steps_strength(c: Column | str) -> Column:
+def steps_strength(c: Column | str, ready: bool = False) -> Column:
     """0..20; 4 and more counts as a real description of steps."""
-    t = F.lower(squeeze(c))
+    t = normal(c, ready)
 
     def points(cond: Column, n: int) -> Column:
         return F.when(cond, n).otherwise(0)
@@ -106,19 +112,21 @@ def steps_strength(c: Column | str) -> Column:
 STRONG_STEPS = 4
 
 
-def has_owner_cue(c: Column | str, rules: RuleSet) -> Column:
-    return matches(F.lower(squeeze(c)), rules.pattern_lists["owner_cue"])
+def has_owner_cue(c: Column | str, rules: RuleSet, ready: bool = False) -> Column:
+    return matches(normal(c, ready), rules.pattern_lists["owner_cue"])
 
 
-def looks_like_related_work(text: Column | str, label: Column | str, rules: RuleSet) -> Column:
+def looks_like_related_work(
+    text: Column | str, label: Column | str, rules: RuleSet, ready: bool = False
+) -> Column:
     return F.upper(text_or_empty(label)).isin(*rules.literature_labels) | matches(
-        F.lower(squeeze(text)), rules.pattern_lists["related_work"]
+        normal(text, ready), rules.pattern_lists["related_work"]
     )
 
 
-def looks_like_artifact(c: Column | str, rules: RuleSet) -> Column:
+def looks_like_artifact(c: Column | str, rules: RuleSet, ready: bool = False) -> Column:
     """Design artefacts named as words (diagrams, test sheets)."""
-    return matches(F.lower(squeeze(c)), rules.pattern_lists["artifact"])
+    return matches(normal(c, ready), rules.pattern_lists["artifact"])
 
 
 def contains_artifact_word(c: Column | str, rules: RuleSet) -> Column:
@@ -126,12 +134,12 @@ def contains_artifact_word(c: Column | str, rules: RuleSet) -> Column:
     return contains_any(F.lower(squeeze(c)), rules.word_lists["artifact_words"])
 
 
-def explain_strength(c: Column | str, rules: RuleSet) -> Column:
-    return count_matches(F.lower(squeeze(c)), rules.pattern_lists["explain_signal"])
+def explain_strength(c: Column | str, rules: RuleSet, ready: bool = False) -> Column:
+    return count_matches(normal(c, ready), rules.pattern_lists["explain_signal"])
 
 
-def steps_bias_strength(c: Column | str, rules: RuleSet) -> Column:
-    t = F.lower(squeeze(c))
+def steps_bias_strength(c: Column | str, rules: RuleSet, ready: bool = False) -> Column:
+    t = normal(c, ready)
     return count_matches(t, rules.pattern_lists["steps_bias"]) + F.least(
-        steps_strength(t), F.lit(6)
+        steps_strength(t, True), F.lit(6)
     )

@@ -19,6 +19,7 @@ from folioscan.functions.topics import (
     looks_like_related_work,
     mentions,
     named_topics,
+    normal,
 )
 from folioscan.functions.windows import by_query
 from folioscan.operators.expansion import topic_label
@@ -27,22 +28,27 @@ from folioscan.rules import RuleSet
 CLASSES = ("strong", "weak", "neutral", "mention")
 
 
-def ownership_class(text: Column | str, label: Column | str, mentioned: Column, rules: RuleSet) -> Column:
+def ownership_class(
+    text: Column | str, label: Column | str, mentioned: Column, rules: RuleSet, ready: bool = False
+) -> Column:
     """How a chunk that names the topic relates to it; null when it does not."""
-    related = looks_like_related_work(text, label, rules)
+    related = looks_like_related_work(text, label, rules, ready)
     owner_label = F.upper(text_or_empty(label)).isin(*rules.owner_labels)
     return F.when(
         mentioned,
-        F.when(has_owner_cue(text, rules) & ~related, "strong")
+        F.when(~related & has_owner_cue(text, rules, ready), "strong")
         .when(owner_label & ~related, "weak")
         .when(related, "mention")
         .otherwise("neutral"),
     )
 
 
-def _mentioned(rules: RuleSet, topic: Column, text: Column | str = "text") -> Column:
-    direct = named_topics({t.name: mentions(text, t) for t in rules.topics})
-    return F.array_contains(direct, topic)
+def _mentioned(rules: RuleSet, topic: Column, text: str) -> Column:
+    """Only the topic asked for is matched."""
+    out = F.lit(False)
+    for t in rules.topics:
+        out = F.when(topic == t.name, mentions(text, t, True)).otherwise(out)
+    return out
 
 
 def _hinted(rules: RuleSet, topic: Column, doc: Column) -> Column:
@@ -62,11 +68,14 @@ def document_ownership(
     """
     keys = ["query_id", topic, "doc_id"]
     doc = F.col("doc_id").cast("string")
-    flagged = hits.select(
+    forms = hits.select(
         *keys, "rank", "chunk_id", "source_file", "label",
         short_snippet("text", evidence_chars).alias("snippet"),
-        ownership_class("text", "label", _mentioned(rules, F.col(topic)), rules).alias("cls"),
-    )
+        normal("text").alias("_sq"),
+    ).withColumn("_hit", _mentioned(rules, F.col(topic), "_sq"))
+    flagged = forms.withColumn(
+        "cls", ownership_class("_sq", "label", F.col("_hit"), rules, True)
+    ).drop("_sq", "_hit")
 
     def n(cls: str) -> Column:
         return F.count_if(F.coalesce(F.col("cls") == cls, F.lit(False))).cast("int")
@@ -290,13 +299,13 @@ def comparison_candidates(
     p = rules.pattern_lists
     body = F.col("body")
     df = contexts.select("query_id", "ctx", targets, drop_doc_header("text").alias("body"))
-    topics = named_topics({t.name: matches(body, t.mention) for t in rules.topics})
+    topics = named_topics({t.name: matches(body, t.mention, "iU") for t in rules.topics})
     score = (
         F.lit(4)
-        + F.when(matches(body, p["compare_usage"]), 2).otherwise(0)
-        + F.when(matches(body, p["compare_reason"]), 2).otherwise(0)
-        + F.when(matches(body, p["compare_process"]), 1).otherwise(0)
-        - F.when(matches(body, p["compare_noise"]), 4).otherwise(0)
+        + F.when(matches(body, p["compare_usage"], "iU"), 2).otherwise(0)
+        + F.when(matches(body, p["compare_reason"], "iU"), 2).otherwise(0)
+        + F.when(matches(body, p["compare_process"], "iU"), 1).otherwise(0)
+        - F.when(matches(body, p["compare_noise"], "iU"), 4).otherwise(0)
     )
     rows = df.where(body != "").select(
         "query_id", "ctx", score.alias("score"),
@@ -330,15 +339,15 @@ def comparison_signals(contexts: DataFrame, chosen: DataFrame, rules: RuleSet) -
     style = F.array().cast("array<string>")
     for t in rules.topics:
         tags = F.array_compact(
-            F.array(*[F.when(matches(body, s), F.lit(s)) for s in t.style])
+            F.array(*[F.when(matches(body, s, "iU"), F.lit(s)) for s in t.style])
         ) if t.style else F.array().cast("array<string>")
         style = F.when(F.col("topic") == t.name, tags).otherwise(style)
     rows = rows.select(
         "query_id", "topic", "pos", "ctx",
         topic_snippet(body, F.col("topic"), rules).alias("snippet"),
-        matches(body, p["compare_usage"]).alias("usage"),
-        matches(body, p["compare_reason"]).alias("reason"),
-        (matches(body, p["compare_process"]) | has_steps_signal(body, rules)).alias("process"),
+        matches(body, p["compare_usage"], "iU").alias("usage"),
+        matches(body, p["compare_reason"], "iU").alias("reason"),
+        (matches(body, p["compare_process"], "iU") | has_steps_signal(body, rules)).alias("process"),
         style.alias("style"),
     )
 
@@ -366,7 +375,7 @@ def steps_contexts(
     contexts: DataFrame, rules: RuleSet, *, targets: str = "targets", per_topic: int = 3
 ) -> DataFrame:
     """Contexts per topic for steps: topic mention, step signal first."""
-    topics = named_topics({t.name: matches("text", t.mention) for t in rules.topics})
+    topics = named_topics({t.name: matches("text", t.mention, "iU") for t in rules.topics})
     rows = contexts.select(
         "query_id", "ctx", "text",
         F.when(has_steps_signal("text", rules), 0).otherwise(1).alias("prio"),

@@ -7,18 +7,21 @@ rule set, never over rows, and all windows share one exchange.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from folioscan.functions.text import col
+from folioscan.functions.text import col, matches, text_or_empty
 from folioscan.functions.topics import (
     STRONG_STEPS,
     id_hint,
-    metadata_blob,
     mentions,
+    metadata_blob,
     named_topics,
+    normal,
     steps_strength,
-    strongly_supports,
-    supports,
+    strong_cue,
+    topic_text,
     topics_in,
 )
 from folioscan.functions.windows import by_query
@@ -36,18 +39,38 @@ def with_topic_columns(hits: DataFrame, rules: RuleSet) -> DataFrame:
         *[F.col(c).cast("string") if c in have else F.lit("")
           for c in ("doc_id", "source_file", "title", "label", "stream")]
     )
-    doc = F.col("doc_id").cast("string")
-    topics = {t.name: t for t in rules.topics}
-    return hits.select(
+    doc, topics = F.col("doc_id").cast("string"), {t.name: t for t in rules.topics}
+    # every normal form is computed once, every pattern matched once
+    forms = hits.select(
         "*",
-        named_topics({n: id_hint(doc, t) for n, t in topics.items()}).alias("t_id"),
-        named_topics({n: supports(doc, "text", t) for n, t in topics.items()}).alias("t_sup"),
-        named_topics(
-            {n: strongly_supports(doc, "text", blob, t) for n, t in topics.items()}
-        ).alias("t_strong"),
-        topics_in("text", rules).alias("t_any"),
-        named_topics({n: mentions("text", t) for n, t in topics.items()}).alias("t_direct"),
+        F.lower(text_or_empty("text")).alias("_low"),
+        normal("text").alias("_sq"),
+        topic_text("text").alias("_split"),
+        normal(blob).alias("_blob"),
+    ).withColumn("_lsplit", topic_text("_low"))
+
+    def where(test) -> Column:
+        return named_topics({n: test(t) for n, t in topics.items()})
+
+    # one reference per topic keeps the optimizer from inlining the patterns
+    def either(*cols: str) -> Column:
+        return named_topics(
+            {n: reduce(lambda a, b: a | b, [F.array_contains(c, n) for c in cols]) for n in topics}
+        )
+
+    loose = {n: t for n, t in topics.items() if not t.strict_only}
+    tested = forms.select(
+        *hits.columns,
+        where(lambda t: id_hint(doc, t)).alias("t_id"),
+        where(lambda t: matches("_low", t.strict)).alias("_strict"),
+        named_topics({n: matches("_lsplit", t.mention) for n, t in loose.items()}).alias("_loose"),
+        where(lambda t: strong_cue("_sq", t, True) | strong_cue("_blob", t, True)).alias("_cue"),
+        where(lambda t: matches("_split", t.mention)).alias("t_any"),
+        where(lambda t: mentions("_sq", t, True)).alias("t_direct"),
     )
+    return tested.withColumn("t_sup", either("t_id", "_strict", "_loose")).withColumn(
+        "t_strong", either("t_sup", "_cue")
+    ).drop("_strict", "_loose", "_cue")
 
 
 def pick_first(df: DataFrame, key: Column, order: int, name: str | Column) -> DataFrame:
@@ -145,11 +168,12 @@ def adequately_represented(
 ) -> DataFrame:
     """Per (query, topic): is some hit a good enough representative?"""
     flagged = with_topic_columns(hits, rules)
-    strong = F.array_contains("t_strong", F.col("topic"))
+    enough = F.lit(True)
     if prefer_steps is not None:
-        strong = strong & (~prefer_steps | (steps_strength("text") >= STRONG_STEPS))
+        enough = ~prefer_steps | (steps_strength("text") >= STRONG_STEPS)
+    strong = F.array_contains("t_strong", F.col("topic")) & F.col("_enough")
     return (
-        flagged.select("*", F.explode(targets).alias("topic"))
+        flagged.select("query_id", "t_strong", enough.alias("_enough"), F.explode(targets).alias("topic"))
         .groupBy("query_id", "topic")
         .agg(F.bool_or(strong).alias("represented"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscan.functions.text import strip, text_or_empty
 from folioscan.functions.topics import (
@@ -11,6 +11,7 @@ from folioscan.functions.topics import (
     has_owner_cue,
     looks_like_artifact,
     looks_like_related_work,
+    normal,
     steps_bias_strength,
     steps_strength,
 )
@@ -90,19 +91,20 @@ def _points(cond: Column, n: int) -> Column:
 
 def _flags(pool: DataFrame, rules: RuleSet) -> DataFrame:
     label = F.upper(text_or_empty("label"))
-    return with_topic_columns(pool, rules).select(
+    forms = with_topic_columns(pool, rules).withColumn("_sq", normal("text"))
+    return forms.select(
         "*",
         F.coalesce(F.col("doc_id").cast("string") == F.col("target_doc").cast("string"), F.lit(False)).alias("_own"),
         F.array_contains("t_strong", F.col("topic")).alias("_sup"),
-        has_owner_cue("text", rules).alias("_cue"),
+        has_owner_cue("_sq", rules, True).alias("_cue"),
         label.isin(*rules.owner_labels).alias("_owner_label"),
         label.isin(*rules.process_labels).alias("_process_label"),
         label.isin(*rules.literature_labels).alias("_lit"),
-        looks_like_related_work("text", "label", rules).alias("_related"),
-        (steps_strength("text") >= STRONG_STEPS).alias("_rich"),
-        explain_strength("text", rules).alias("_explain"),
-        steps_bias_strength("text", rules).alias("_bias"),
-        looks_like_artifact("text", rules).alias("_artifact"),
+        looks_like_related_work("_sq", "label", rules, True).alias("_related"),
+        (steps_strength("_sq", True) >= STRONG_STEPS).alias("_rich"),
+        explain_strength("_sq", rules, True).alias("_explain"),
+        steps_bias_strength("_sq", rules, True).alias("_bias"),
+        looks_like_artifact("_sq", rules, True).alias("_artifact"),
     )
 
 
@@ -122,7 +124,7 @@ def _select(df: DataFrame, predicates: list[Column], *, floor: int, limit: int)
         "_fit", (~picked & (F.col("expansion_score") >= floor)).cast("int")
     )
     nth = F.sum("_fit").over(
-        by_query().orderBy(F.desc("expansion_score"), "score", "ord").rowsBetween(-(2**31), 0)
+        by_query().orderBy(F.desc("expansion_score"), "score", "ord").rowsBetween(W.unboundedPreceding, 0)
     )
     df = df.withColumn("_nth", nth)
     room = F.greatest(F.lit(limit) - F.col("_n"), F.lit(1))
@@ -136,7 +138,7 @@ def _select(df: DataFrame, predicates: list[Column], *, floor: int, limit: int)
 def _finish(df: DataFrame, fallback_rows: int) -> DataFrame:
     """Fall back to the first base rows of the document; number the choice."""
     base_no = F.sum((F.col("in_base") & F.col("_own")).cast("int")).over(
-        by_query().orderBy("score", "ord").rowsBetween(-(2**31), 0)
+        by_query().orderBy("score", "ord").rowsBetween(W.unboundedPreceding, 0)
     )
     df = df.withColumn("_base_no", base_no)
     fallback = (F.col("_any") == 0) & F.col("in_base") & F.col("_own") & (

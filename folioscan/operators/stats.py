@@ -94,7 +94,7 @@ def context_rows(hits: DataFrame, *, hybrid: bool, order: str = "rank") -> DataF
 def source_snapshot(hits: DataFrame, *, hybrid: bool, max_items: int = 6) -> DataFrame:
     """First hits of each query with shortened names and their metrics as text."""
     def number(c: Column, digits: int) -> Column:
-        return F.format_number(c, "0." + "0" * digits)
+        return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c))
 
     def short(c: Column | str, n: int) -> Column:
         t = text_or_empty(c)
