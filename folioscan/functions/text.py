@@ -22,9 +22,16 @@ def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+#: every white-space character of Unicode
+SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column | str) -> Column:
     """Trim all white space, newlines included (``trim`` only knows blanks)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def squeeze(c: Column | str) -> Column:
