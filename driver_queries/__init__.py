@@ -2,6 +2,6 @@
 
 from driver_queries.base import REGISTRY, SQL
 
-from driver_queries import coverage, documents, questions, retrieval  # noqa: F401  (they register their queries)
+from driver_queries import answers, coverage, documents, questions, retrieval  # noqa: F401  (they register their queries)
 
 __all__ = ["REGISTRY", "SQL"]
