@@ -78,7 +78,7 @@ def rebuild_contexts(answers: DataFrame, retrieval: DataFrame, chunks: DataFrame
         "_legacy",
         F.filter(F.transform(F.coalesce(legacy, _none()), lambda x: strip(text_or_empty(x))), lambda x: x != ""),
     )
-    joined = rows.join(retrieval, KEY, "left").withColumn("_row", F.monotonically_increasing_id())
+    joined = rows.join(retrieval, KEY, "left")
     wanted = joined.select(*KEY, F.posexplode("ids").alias("pos", "chunk_id"))
     first_stream = F.when(F.col("stream") == "narasi", 0).otherwise(1)
     asked_ids = wanted.select("chunk_id").distinct()
@@ -106,7 +106,7 @@ def rebuild_contexts(answers: DataFrame, retrieval: DataFrame, chunks: DataFrame
         F.bool_or(F.col("full").isNotNull()).alias("_full"),
         F.bool_or(F.col("full").isNull() & F.col("preview").isNotNull()).alias("_prev"),
     )
-    out = joined.drop("_row").join(per, KEY, "left")
+    out = joined.join(per, KEY, "left")
     has = F.size(F.coalesce("_ctx", _none())) > 0
     source = (
         F.when(has & F.col("_full") & F.col("_prev"), "index_plus_retrieval_fallback")

@@ -35,6 +35,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that comes in few splits.
+
+    A table in one small file is one task whatever the work on it; a table with
+    at least as many splits as cores is left alone, so that nothing large is
+    ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def query_blocks(queries: DataFrame, key: str, max_rows: int) -> list[DataFrame]:
     """Split a query table into blocks of about ``max_rows`` rows.
 

@@ -31,13 +31,16 @@ EVAL_SCHEMA = (
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a JSON-lines log and the lines that do not parse."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    lines = rows.withColumn(
-        "log_pos", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                            F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select(
+        F.from_json(
+            "value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+        ).alias("row"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start",
+                 F.monotonically_increasing_id().alias("i")).alias("log_pos"),
     )
-    bad = F.col("_corrupt_record").isNotNull()
-    return lines.where(~bad).drop("_corrupt_record"), lines.where(bad).select("_corrupt_record")
+    bad = F.col("row._corrupt_record").isNotNull()
+    good = lines.where(~bad).select("row.*", "log_pos").drop("_corrupt_record")
+    return good, lines.where(bad).select("row._corrupt_record")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
