@@ -72,21 +72,67 @@ def pair_turns(
     return position(turns, keys=["conv_id"], bin=[_bin("turn")], order=[F.col("turn")], name="pos")
 
 
-def with_history(turns: DataFrame, n: int) -> DataFrame:
+def with_history(turns: DataFrame, n: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """Add ``history``: the last ``n`` turns before each turn, oldest first.
 
     Every turn is sent to the ``n`` positions after it; a group holds at most
-    ``n`` rows.
+    ``n`` rows.  ``extra`` columns of the past turns travel along.
     """
-    item = F.struct("pos", "turn", "query", "answer_preview", "topics")
+    item = F.struct("pos", "turn", "query", "answer_preview", "topics", *extra)
     sent = turns.select(
         "conv_id", item.alias("h"),
         F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + n)).alias("pos"),
     )
     past = sent.groupBy("conv_id", "pos").agg(F.sort_array(F.collect_list("h")).alias("history"))
-    return turns.join(past, ["conv_id", "pos"], "left").withColumn(
-        "history", F.coalesce(F.col("history"), F.array()).cast(HISTORY)
+    joined = turns.join(past, ["conv_id", "pos"], "left")
+    return joined.withColumn("history", F.coalesce("history", F.slice(F.array(item), 1, 0)))
+
+
+def _question_facts(query: Column, rules: RuleSet) -> Column:
+    low = F.lower(query)
+    return F.struct(
+        (query == "").alias("empty"),
+        contains_any(low, rules.word_lists["shift_markers"]).alias("marker"),
+        is_compression(query, rules).alias("shorten"),
+        is_anaphora(query, rules).alias("refers"),
+        keywords(query, rules.word_lists["stop_topic"], min_len=3, alphabet="a-z0-9").alias("terms"),
+    )
+
+
+def _window_facts(size: Column, terms: Column, has_context: Column, asked: Column) -> Column:
+    return let(
+        terms,
+        lambda t: F.struct(
+            size.alias("turns"),
+            F.size(t).alias("n_terms"),
+            F.size(F.array_intersect(asked, t)).alias("shared"),
+            has_context.alias("has_context"),
+        ),
+    )
+
+
+def _decide(q: Column, w: Column, s: HistorySettings) -> Column:
+    n = F.size(q["terms"])
+    reason = (
+        F.when(q["empty"], "empty_query")
+        .when(w["turns"] <= 0, "no_history")
+        .when(q["marker"], "explicit_marker")
+        .when(q["shorten"] & w["has_context"], "compression_followup")
+        .when(q["refers"], "anaphora")
+        .when(F.least(n, w["n_terms"]) < s.min_terms, "too_few_terms")
+        .otherwise("overlap_check")
     )
+    share = w["shared"] / F.greatest(n, F.lit(1))
+
+    def result(r: Column) -> Column:
+        checked = r == "overlap_check"
+        return F.struct(
+            ((r == "explicit_marker") | (checked & (share < s.overlap_threshold))).alias("is_shift"),
+            r.alias("reason"),
+            F.when(checked, F.round(share, 6)).alias("overlap"),
+        )
+
+    return let(reason, result)
 
 
 def topic_shift(
@@ -99,29 +145,15 @@ def topic_shift(
     not; else the share of the question's content terms that the history knows
     must stay below the threshold, with enough terms on both sides.
     """
-    q = strip(text_or_empty(query))
-    low = F.lower(q)
-    stop = rules.word_lists["stop_topic"]
-    q_terms = keywords(q, stop, min_len=3, alphabet="a-z0-9")
-    h_terms = keywords(history_text(history), stop, min_len=3, alphabet="a-z0-9")
-    shared = F.size(F.array_intersect(q_terms, h_terms))
-    overlap = shared / F.greatest(F.size(q_terms), F.lit(1))
-    reason = (
-        F.when(q == "", "empty_query")
-        .when(F.size(history) <= 0, "no_history")
-        .when(contains_any(low, rules.word_lists["shift_markers"]), "explicit_marker")
-        .when(is_compression(q, rules) & history_has_context(history, rules), "compression_followup")
-        .when(is_anaphora(q, rules), "anaphora")
-        .when(F.least(F.size(q_terms), F.size(h_terms)) < settings.min_terms, "too_few_terms")
-        .otherwise("overlap_check")
+    past = keywords(
+        history_text(history), rules.word_lists["stop_topic"], min_len=3, alphabet="a-z0-9"
     )
-    checked = reason == "overlap_check"
-    return F.struct(
-        ((reason == "explicit_marker") | (checked & (overlap < settings.overlap_threshold))).alias(
-            "is_shift"
+    return let(
+        _question_facts(strip(text_or_empty(query)), rules),
+        lambda q: let(
+            _window_facts(F.size(history), past, history_has_context(history, rules), q["terms"]),
+            lambda w: _decide(q, w, settings),
         ),
-        reason.alias("reason"),
-        F.when(checked, F.round(overlap, 6)).alias("overlap"),
     )
 
 
@@ -150,15 +182,32 @@ def conversation_windows(
     scan over the conversation picks the one that holds.
     """
     w = settings.window
-    rows = with_history(turns, w + 1).withColumn("_ana", is_anaphora("query", rules))
+    # what a turn contributes to later windows is worked out once per turn
+    own = turns.select(
+        "conv_id", "turn", "pos", "query", "answer_preview", "topics",
+        _question_facts(strip(text_or_empty("query")), rules).alias("_q"),
+        keywords(
+            F.concat_ws(" ", text_or_empty("query"), text_or_empty("answer_preview")),
+            rules.word_lists["stop_topic"], min_len=3, alphabet="a-z0-9",
+        ).alias("_terms"),
+        history_has_context(F.array(F.struct("query", "answer_preview", "topics")), rules).alias("_ctx"),
+    )
+    rows = with_history(own, w + 1, ("_terms", "_ctx"))
     options = [
-        _window_for(d, F.col("history"), F.col("pos"), F.col("_ana"), settings) for d in range(w + 1)
+        _window_for(d, F.col("history"), F.col("pos"), F.col("_q.refers"), settings)
+        for d in range(w + 1)
     ]
     rows = rows.withColumn("_windows", F.array(*options))
-    tests = rows.withColumn(
-        "_tests",
-        F.transform("_windows", lambda x: topic_shift(F.col("query"), x, rules, settings)),
+    facts = F.transform(
+        "_windows",
+        lambda x: _window_facts(
+            F.size(x),
+            F.array_distinct(F.flatten(F.transform(x, lambda h: h["_terms"]))),
+            F.exists(x, lambda h: h["_ctx"]),
+            F.col("_q.terms"),
+        ),
     )
+    tests = rows.withColumn("_tests", F.transform(facts, lambda f: _decide(F.col("_q"), f, settings)))
     after = F.transform(
         "_tests",
         lambda t, d: F.when(t["is_shift"], 1)
@@ -166,7 +215,7 @@ def conversation_windows(
         .otherwise(d + 1)
         .cast("bigint"),
     )
-    tests = tests.withColumn("_next", after)
+    tests = tests.withColumn("_next", after).persist()  # read by the scan and by the final join
 
     def step(state: int, nxt: object) -> int:
         return int(nxt[state])
@@ -181,8 +230,8 @@ def conversation_windows(
     window = F.get("_windows", F.col("_state"))
     return joined.select(
         "conv_id", "turn", "pos", "query", "answer_preview", "topics",
-        window.alias("window"),
-        (F.col("_ana") & (F.col("_state") == 1) & F.lit(settings.anaphora_skips_last_shift)).alias(
+        F.transform(window, lambda h: h.dropFields("_terms", "_ctx")).alias("window"),
+        (F.col("_q.refers") & (F.col("_state") == 1) & F.lit(settings.anaphora_skips_last_shift)).alias(
             "used_pre_shift"
         ),
         test["is_shift"].alias("is_shift"),
