@@ -193,7 +193,19 @@ def catalog_merge(spark, sf_dir):
     return catalog.merge_catalog(old, new, failed=labels.where("quality <> 1"))
 
 
-@query("display_lookup")
+@query(
+    "display_lookup",
+    """WITH p AS (SELECT p_partkey::VARCHAR AS id, replace(p_brand, '#', '_') AS stem, trim(p_name) AS t FROM part),
+s AS (SELECT id, lower(stem) AS k, CASE WHEN length(t) < 20 THEN stem ELSE t END AS title, CASE WHEN length(t) < 20 THEN 'suspicious' ELSE 'high' END AS quality,
+   CASE WHEN length(t) < 20 THEN 'source_file_fallback' ELSE 'catalog_raw' END AS source FROM p),
+f AS (SELECT k, arg_min(title, id) AS title, arg_min(quality, id) AS quality, arg_min(source, id) AS source FROM s GROUP BY k),
+h AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'u' END || doc_id AS doc_id, 'BRAND_' || (doc_id % 30) || '.PDF' AS source_file, 'brand_' || (doc_id % 30) AS k FROM documents)
+SELECT h.doc_id, h.source_file, coalesce(s.title, f.title, h.source_file) AS title_display,
+  CASE WHEN s.id IS NULL AND f.k IS NULL THEN '-' ELSE 'author' END AS author_display,
+  CASE WHEN s.id IS NULL AND f.k IS NULL THEN '-' ELSE '2020' END AS year_display,
+  coalesce(s.source, f.source, 'runtime_fallback') AS title_source, coalesce(s.quality, f.quality, 'fallback') AS title_quality
+FROM h LEFT JOIN s ON s.id = h.doc_id LEFT JOIN f ON f.k = h.k""",
+)
 def display_lookup(spark, sf_dir):
     cat = table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("doc_id"),
@@ -201,8 +213,10 @@ def display_lookup(spark, sf_dir):
         F.col("p_name").alias("title"), F.lit("author").alias("author"),
         F.lit(2020).alias("year"), F.lit("").alias("program"),
     )
+    i = F.col("doc_id")
     hits = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string"), F.concat(F.lit("BRAND_"), F.col("doc_id") % 30, F.lit(".PDF")).alias("source_file")
+        F.concat(F.when(i % 2 == 0, "").otherwise("u"), i).alias("doc_id"),
+        F.concat(F.lit("BRAND_"), i % 30, F.lit(".PDF")).alias("source_file"),
     )
     return catalog.display_lookup(hits, catalog.display_metadata(cat, RULES), cat, RULES)
 
@@ -250,7 +264,35 @@ def history_window(spark, sf_dir):
     )
 
 
-@query("topic_shift_windows")
+TERMS = "[x FOR x IN list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]{{3,}}')) IF NOT list_contains(" + sql_list(WL["stop_topic"]) + ", x)]"
+BOTH = "query || ' ' || answer_preview"
+
+SHIFT_CTES = f"""{TURN_CTE},
+facts AS (SELECT conv_id, turn, pos, {TERMS.format('query')} AS qt, {TERMS.format(BOTH)} AS ht,
+   {sql_contains_any('lower(query)', WL['shift_markers'])} AS marker, {sql_any('lower(query)', L['compression'])} AS shorten,
+   {sql_any('lower(query)', P['q_anaphora'])} AS refers,
+   len(topics) > 0 OR {sql_any('lower(query)', P['q_steps'])} OR ({sql_any('lower(query)', P['q_flow'])} AND {sql_any('lower(query)', P['q_flow_context'])})
+     OR {sql_any('lower(query)', P['q_topic'])} OR {sql_any(f'lower({BOTH})', P['q_history_context'])} AS ctx FROM turns),
+conv AS (SELECT conv_id, list(ht ORDER BY pos) AS hts, list(ctx ORDER BY pos) AS cxs, list(turn ORDER BY pos) AS tls FROM facts GROUP BY conv_id),
+rec AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0::BIGINT AS turn, []::BOOLEAN[] AS flags, ''::VARCHAR AS shift_reason, NULL::DOUBLE AS overlap, false AS used_pre_shift, ''::VARCHAR AS window_turns FROM conv
+  UNION ALL
+  SELECT conv_id, pos, turn, list_append(flags, CASE WHEN r = 'explicit_marker' THEN true WHEN r = 'overlap_check' THEN ov < 0.15 ELSE false END), r,
+     CASE WHEN r = 'overlap_check' THEN round(ov, 6) END, pre, array_to_string(tls[lo:hi], ',')
+  FROM (SELECT *, CASE WHEN hi < lo THEN 'no_history' WHEN marker THEN 'explicit_marker' WHEN shorten AND list_contains(cxs[lo:hi], true) THEN 'compression_followup'
+          WHEN refers THEN 'anaphora' WHEN least(len(qt), len(wt)) < 3 THEN 'too_few_terms' ELSE 'overlap_check' END AS r,
+          len(list_intersect(qt, wt)) / greatest(len(qt), 1) AS ov
+    FROM (SELECT *, list_distinct(flatten(hts[lo:hi])) AS wt
+      FROM (SELECT *, CASE WHEN pre THEN greatest(1, last - 4) ELSE greatest(1, pos - 4, last) END AS lo, CASE WHEN pre THEN last - 1 ELSE pos - 1 END AS hi
+        FROM (SELECT *, refers AND last > 0 AND last = pos - 1 AS pre
+          FROM (SELECT f.*, c.hts, c.cxs, c.tls, rec.flags, CASE WHEN list_contains(rec.flags, true) THEN len(rec.flags) - list_position(list_reverse(rec.flags), true) + 1 ELSE 0 END AS last
+                FROM rec JOIN facts f ON f.conv_id = rec.conv_id AND f.pos = rec.pos + 1 JOIN conv c ON c.conv_id = rec.conv_id))))))"""
+
+
+@query(
+    "topic_shift_windows",
+    f"WITH RECURSIVE {SHIFT_CTES} SELECT conv_id, turn, flags[-1] AS is_shift, shift_reason, overlap, used_pre_shift, coalesce(window_turns, '') AS window_turns FROM rec WHERE pos > 0",
+)
 def topic_shift_windows(spark, sf_dir):
     t = conversation.conversation_windows(conversation.pair_turns(messages(spark, sf_dir), RULES), RULES)
     return t.select(
