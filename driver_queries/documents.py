@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from driver_queries.base import query, sql_any, sql_contains_any, sql_list, table
 from driver_queries.themes import CLEAN, QUESTIONS, RULES, choose, sql_choose, topics_in_sql
@@ -92,16 +92,51 @@ def sections(spark, sf_dir):
     )
 
 
-@query("merged_pages")
+MERGE_SQL = f"""{SECTION_SQL},
+np AS (SELECT doc_id, section_no, page, trim(text, ' ' || chr(10)) AS t, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY page) AS i
+  FROM sl WHERE label NOT IN ('SKIP', 'DAFTAR_PUSTAKA')),
+rec AS (SELECT doc_id, section_no, i, page, t, page AS start, CASE WHEN length(t) >= 150 THEN 0 ELSE length(t) END AS len FROM np WHERE i = 1
+  UNION ALL
+  SELECT n.doc_id, n.section_no, n.i, n.page, n.t, CASE WHEN r.len = 0 THEN n.page ELSE r.start END,
+    CASE WHEN CASE WHEN r.len = 0 THEN length(n.t) ELSE r.len + 2 + length(n.t) END >= 150 THEN 0 WHEN r.len = 0 THEN length(n.t) ELSE r.len + 2 + length(n.t) END
+  FROM rec r JOIN np n ON n.doc_id = r.doc_id AND n.section_no = r.section_no AND n.i = r.i + 1),
+g AS (SELECT doc_id, section_no, start, arg_max(len, page) AS rest FROM rec GROUP BY doc_id, section_no, start),
+g2 AS (SELECT *, lag(start) OVER (PARTITION BY doc_id, section_no ORDER BY start) AS prev,
+   row_number() OVER (PARTITION BY doc_id, section_no ORDER BY start DESC) = 1 AS tail FROM g)"""
+
+
+@query(
+    "merged_pages",
+    f"""WITH RECURSIVE {MERGE_SQL}
+SELECT doc_id, section_no, CASE WHEN tail AND rest <> 0 AND prev IS NOT NULL THEN prev ELSE start END AS page,
+  string_agg(t, chr(10) || chr(10) ORDER BY rec.page) AS text
+FROM rec JOIN g2 USING (doc_id, section_no, start) GROUP BY ALL""",
+)
 def merged_pages(spark, sf_dir):
     sp = structure.section_pages(doc_pages(spark, sf_dir), RULES).persist()
     return chunking.merge_short_pages(sp.where(F.col("stream") == "narasi"))
 
 
-@query("citation_entries")
+ENTRY_SQL = f"""{SECTION_SQL},
+cp AS (SELECT doc_id, section_no, page, string_split_regex(text, '\\n+') AS ps FROM sl WHERE label = 'DAFTAR_PUSTAKA'),
+cu AS (SELECT doc_id, section_no, page, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM cp),
+cn AS (SELECT doc_id, section_no, trim(p) AS t, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY page, n) AS i FROM cu WHERE trim(p) <> ''),
+rec AS (SELECT doc_id, section_no, i, t, 1::BIGINT AS entry, length(t) AS len FROM cn WHERE i = 1
+  UNION ALL
+  SELECT n.doc_id, n.section_no, n.i, n.t, CASE WHEN r.len > 80 THEN n.i ELSE r.entry END, CASE WHEN r.len > 80 THEN length(n.t) ELSE r.len + 1 + length(n.t) END
+  FROM rec r JOIN cn n ON n.doc_id = r.doc_id AND n.section_no = r.section_no AND n.i = r.i + 1)"""
+
+
+@query(
+    "citation_entries",
+    f"""WITH RECURSIVE {ENTRY_SQL}, e AS (SELECT doc_id, section_no, entry, string_agg(t, ' ' ORDER BY i) AS text FROM rec GROUP BY ALL)
+SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY entry) AS entry_no, text FROM e""",
+)
 def citation_entries(spark, sf_dir):
     sp = structure.section_pages(doc_pages(spark, sf_dir), RULES).persist()
-    return chunking.citation_entries(sp.where(F.col("stream") == "sitasi"), separator=r"\n+")
+    found = chunking.citation_entries(sp.where(F.col("stream") == "sitasi"), separator=r"\n+")
+    order = Window.partitionBy("doc_id", "section_no").orderBy("entry")
+    return found.withColumn("entry_no", F.row_number().over(order)).drop("entry")
 
 
 @query("chunks")
