@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import common, sharding, tokens, warc
+from folioscan.llm import common, licences, linededup, mixing, sharding, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,11 +33,41 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(common.documents(spark, sf_dir), tokenizer_path())
 
 
+@query(
+    "op3_line_dedup",
+    r"""
+    WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+         l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, lines, lines[i] AS line FROM t),
+         k AS (SELECT doc_id, i, line,
+                      translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+         m AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10
+               GROUP BY key HAVING min(doc_id) <> max(doc_id)),
+         d AS (SELECT k.*, m.first IS NOT NULL AND m.first <> doc_id AS gone FROM k LEFT JOIN m USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM d GROUP BY doc_id
+    """,
+)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.dedup_lines(common.documents(spark, sf_dir)))
+
+
 @query("op6_lpt_shards")
 def op6_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.documents(spark, sf_dir))
 
 
+@query("op7_licence_rules", licences.scan_sql())
+def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(common.documents(spark, sf_dir))
+
+
+@query("op8_pivotal_mix")
+def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.documents(spark, sf_dir))
+
+
 @query(
     "op9_warc_revisits",
     """
