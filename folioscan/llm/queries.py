@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import common, licences, linededup, mixing, sharding, tokens, warc
+from folioscan.llm import common, licences, linededup, mixing, ordermin, sharding, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op10_order_minhash")
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.near_duplicates(common.documents(spark, sf_dir))
