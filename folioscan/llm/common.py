@@ -72,6 +72,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def one_task_each(files: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """A task for every row of a list of files (several rows beyond ``most``)."""
+    return files.repartitionByRange(max(1, min(files.count(), most)), key)
+
+
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import common, licences, linededup, mixing, ordermin, sharding, tokens, warc
+from folioscan.llm import common, decontam, licences, linededup, mixing, ordermin, sharding, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +53,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(common.documents(spark, sf_dir)))
 
 
+@query("op4_simhash_windows")
+def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.contaminated(common.documents(spark, sf_dir), items)
+
+
 @query("op6_lpt_shards")
 def op6_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.documents(spark, sf_dir))

@@ -298,8 +298,7 @@ def read_token_files(files: DataFrame, block_ids: int = 1 << 21) -> DataFrame:
                     at = to
 
     return (
-        files.select("path", "base", "shard")
-        .repartitionByRange("shard")
+        common.one_task_each(files.select("path", "base", "shard"), "shard")
         .select("path", "base")
         .mapInArrow(read, "doc_id long, doc_start long, n_tokens long, ids_crc32 long")
     )

@@ -201,8 +201,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return (
-        files.select("archive", "path")
-        .repartitionByRange("archive")
+        common.one_task_each(files.select("archive", "path"), "archive")
         .select("path")
         .mapInArrow(
             read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
