@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import common, decontam, licences, linededup, mixing, ordermin, sharding, tokens, warc
+from folioscan.llm import common, decontam, licences, linededup, mixing, ordermin, quality, sharding, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(common.documents(spark, sf_dir), tokenizer_path())
 
 
+@query("op2_boosted_quality")
+def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query(
     "op3_line_dedup",
     r"""
