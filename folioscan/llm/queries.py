@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscan.llm import common, decontam, licences, linededup, mixing, ordermin, quality, sharding, tokens, warc
+from folioscan.llm import common, decontam, licences, linededup, mixing, ordermin, quality, sharding, tokens, wand, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,6 +64,28 @@ def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(common.documents(spark, sf_dir), items)
 
 
+@query(
+    "op5_block_max_wand",
+    r"""
+    WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+         stat AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM tok),
+         post AS (SELECT doc_id, dl, term, count(*) AS tf
+                  FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY ALL),
+         idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, stat GROUP BY term, n),
+         scored AS (SELECT q.doc_id AS query_id, d.doc_id,
+                           round(sum(q.tf * idf * d.tf * 2.5 / (d.tf + 1.5 * (0.25 + 0.75 * d.dl / mean))), 6) AS score
+                    FROM post q JOIN post d USING (term) JOIN idf USING (term), stat
+                    WHERE q.doc_id % 20 = 0 GROUP BY ALL)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM scored QUALIFY rank <= 10
+    """,
+)
+def op5_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    asked = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return wand.search(docs, asked)
+
+
 @query("op6_lpt_shards")
 def op6_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.documents(spark, sf_dir))
