@@ -344,8 +344,9 @@ def eval_rows(spark, sf_dir):
     return evaluation.normalize_eval_rows(evaluation.eval_rows(evaluation.audit_rows(rebuilt)))
 
 
-METRIC_SQL = """m AS (SELECT source AS run_id, doc_id AS turn_id, quality::DOUBLE AS faithfulness, CASE WHEN toxic = 1 THEN NULL ELSE n_chars / 1000.0 END AS answer_relevancy,
-   CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id / 10.0 END AS context_precision FROM documents LEFT JOIN labels USING (doc_id))"""
+METRIC_SQL = """m AS (SELECT source AS run_id, doc_id AS turn_id, quality IS NOT NULL AS matched, quality::DOUBLE AS faithfulness,
+   CASE WHEN toxic = 0 THEN n_chars / 1000.0 END AS answer_relevancy,
+   CASE WHEN doc_id % 7 <> 0 AND quality IS NOT NULL THEN doc_id / 10.0 END AS context_precision FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 @query(
@@ -354,18 +355,19 @@ METRIC_SQL = """m AS (SELECT source AS run_id, doc_id AS turn_id, quality::DOUBL
   round(avg(context_precision), 6) AS mean_context_precision, count(*) FILTER (faithfulness IS NULL) AS missing_faithfulness,
   count(*) FILTER (answer_relevancy IS NULL) AS missing_answer_relevancy, count(*) FILTER (context_precision IS NULL) AS missing_context_precision,
   count(*) FILTER (faithfulness IS NOT NULL AND answer_relevancy IS NOT NULL AND context_precision IS NOT NULL) AS rows_ok,
-  count(*) FILTER (faithfulness IS NULL OR answer_relevancy IS NULL OR context_precision IS NULL) AS rows_partial FROM m GROUP BY run_id""",
+  count(*) FILTER (matched AND (faithfulness IS NULL OR answer_relevancy IS NULL OR context_precision IS NULL)) AS rows_partial,
+  count(*) FILTER (NOT matched) AS rows_unmatched FROM m GROUP BY run_id""",
 )
 def metric_summary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents")
     nan = F.lit(float("nan"))
-    m = d.select(
+    m = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(
         F.col("source").alias("run_id"), F.col("doc_id").alias("turn_id"),
         F.col("quality").cast("double").alias("faithfulness"),
         F.when(F.col("toxic") == 1, nan).otherwise(F.col("n_chars") / 1000.0).alias("response_relevancy"),
         F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") / 10.0).alias("context_precision"),
     )
-    rows = evaluation.keyed(d.select(F.col("source").alias("run_id"), F.col("doc_id").alias("turn_id")))
+    rows = evaluation.keyed(docs.select(F.col("source").alias("run_id"), F.col("doc_id").alias("turn_id")))
     return evaluation.metric_summary(evaluation.with_metrics(rows, m), "run_id")
 
 

@@ -67,7 +67,8 @@ def question_bundle(user: Column, retrieval: Column, legacy: Column) -> Column:
 def rebuild_contexts(answers: DataFrame, retrieval: DataFrame, chunks: DataFrame) -> DataFrame:
     """Final contexts of each answer, with where they came from.
 
-    Each context id looks for its text in the chunk table (first stream wins),
+    Works per answer: answers that share a key keep their own contexts.  Each
+    context id looks for its text in the chunk table (first stream wins),
     then in the retrieval record of the same turn; without any, the contexts
     stored on the answer are used.  ``answers`` carries ``used_context_chunk_ids``
     and optionally ``contexts``; ``retrieval`` as :func:`last_per_key`.
@@ -78,13 +79,12 @@ def rebuild_contexts(answers: DataFrame, retrieval: DataFrame, chunks: DataFrame
         "_legacy",
         F.filter(F.transform(F.coalesce(legacy, _none()), lambda x: strip(text_or_empty(x))), lambda x: x != ""),
     )
-    joined = rows.join(retrieval, KEY, "left")
-    wanted = joined.select(*KEY, F.posexplode("ids").alias("pos", "chunk_id"))
+    # answers that cite the same list under the same key share it; every answer row keeps its own list
+    cited = rows.select(*KEY, "ids").distinct().select(*KEY, "ids", F.posexplode("ids").alias("pos", "chunk_id"))
     first_stream = F.when(F.col("stream") == "narasi", 0).otherwise(1)
-    asked_ids = wanted.select("chunk_id").distinct()
     texts = (
         chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "stream", "text")
-        .join(asked_ids, "chunk_id", "left_semi")
+        .join(cited.select("chunk_id").distinct(), "chunk_id", "left_semi")
         .where(strip(text_or_empty("text")) != "")
         .groupBy("chunk_id")
         .agg(F.min_by(strip("text"), first_stream).alias("full"))
@@ -97,16 +97,16 @@ def rebuild_contexts(answers: DataFrame, retrieval: DataFrame, chunks: DataFrame
         .groupBy(*KEY, "chunk_id")
         .agg(F.min_by("preview", "n").alias("preview"))
     )
-    found = wanted.distinct().join(texts, "chunk_id", "left").join(previews, [*KEY, "chunk_id"], "left")
+    found = cited.join(texts, "chunk_id", "left").join(previews, [*KEY, "chunk_id"], "left")
     item = F.struct("pos", F.coalesce("full", "preview").alias("text"), "chunk_id")
     got = F.sort_array(F.collect_list(item))
-    per = found.groupBy(*KEY).agg(
+    per = found.groupBy(*KEY, "ids").agg(
         F.transform(F.filter(got, lambda x: x["text"].isNotNull()), lambda x: x["text"]).alias("_ctx"),
         F.transform(F.filter(got, lambda x: x["text"].isNull()), lambda x: x["chunk_id"]).alias("_missing"),
         F.bool_or(F.col("full").isNotNull()).alias("_full"),
         F.bool_or(F.col("full").isNull() & F.col("preview").isNotNull()).alias("_prev"),
     )
-    out = joined.join(per, KEY, "left")
+    out = rows.join(retrieval, KEY, "left").join(per, [*KEY, "ids"], "left")
     has = F.size(F.coalesce("_ctx", _none())) > 0
     source = (
         F.when(has & F.col("_full") & F.col("_prev"), "index_plus_retrieval_fallback")
@@ -225,7 +225,10 @@ def metric_columns(df: DataFrame) -> dict[str, str]:
 
 
 def with_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Join metric values on the row key; NaN is missing; adds row status."""
+    """Metric values joined on the row key; NaN is missing; adds row status.
+
+    Rows without a metric row stay and have status ``unmatched``.
+    """
     cols = metric_columns(metrics)
     picked = keyed(metrics).select(
         *KEY,
@@ -237,18 +240,30 @@ def with_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
     )
     missing = F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.lit(m)) for m in METRICS]))
     return (
-        rows.join(picked, KEY)
+        rows.join(picked.withColumn("_matched", F.lit(True)), KEY, "left")
         .withColumn("missing_metrics", missing)
-        .withColumn("row_status", F.when(F.size("missing_metrics") > 0, "partial").otherwise("ok"))
+        .withColumn(
+            "row_status",
+            F.when(F.col("_matched").isNull(), "unmatched")
+            .when(F.size("missing_metrics") > 0, "partial")
+            .otherwise("ok"),
+        )
+        .drop("_matched")
     )
 
 
+def unmatched_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Keys of metric rows that belong to no row."""
+    return keyed(metrics).select(*KEY).join(rows.select(*KEY), KEY, "left_anti")
+
+
 def metric_summary(rows: DataFrame, *group: str) -> DataFrame:
-    """Means over present values, missing counts, rows ok and partial."""
+    """Means over present values, missing counts, rows ok, partial and unmatched."""
     return rows.groupBy(*group).agg(
         F.count("*").alias("n_rows"),
         *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in METRICS],
         *[F.count_if(F.col(m).isNull()).alias(f"missing_{m}") for m in METRICS],
         F.count_if(F.col("row_status") == "ok").alias("rows_ok"),
         F.count_if(F.col("row_status") == "partial").alias("rows_partial"),
+        F.count_if(F.col("row_status") == "unmatched").alias("rows_unmatched"),
     )

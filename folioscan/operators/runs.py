@@ -15,19 +15,34 @@ KEEP_FILES = (".keep", "KEEP", "keep.txt")
 def run_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files below the run folders: ``run_id, name, length, modified``.
 
-    Hidden files are not listed by the source; protect a run with ``KEEP`` or
-    ``keep.txt``.
+    The run folders are listed by the driver (one name each); their files, hidden
+    ones such as ``.keep`` too, are listed in tasks.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        .select("path", "length", "modificationTime")
-    )
-    tail = F.regexp_extract("path", r"/(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})/(.*)$", 1)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        tail.alias("run_id"), name.alias("name"), "length",
-        F.col("modificationTime").alias("modified"),
-    ).where(F.col("run_id") != "")
+    from pyarrow import fs as pafs
+
+    def listing(uri: str, deep: bool):
+        store, path = pafs.FileSystem.from_uri(uri)
+        return store.get_file_info(pafs.FileSelector(path, recursive=deep))
+
+    names = [i.base_name for i in listing(folder, False) if i.type == pafs.FileType.Directory]
+    runs = spark.createDataFrame([(n,) for n in names], "run_id string").where(F.col("run_id").rlike(RUN_ID))
+
+    def files(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for run_id in batch["run_id"]:
+                found = [i for i in listing(f"{folder}/{run_id}", True) if i.type == pafs.FileType.File]
+                yield pd.DataFrame(
+                    {
+                        "run_id": [run_id] * len(found),
+                        "name": [i.base_name for i in found],
+                        "length": [i.size for i in found],
+                        "modified": pd.to_datetime([i.mtime_ns or 0 for i in found], utc=True).floor("us"),
+                    }
+                )
+
+    return runs.mapInPandas(files, "run_id string, name string, length long, modified timestamp")
 
 
 def run_catalog(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:

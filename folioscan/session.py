@@ -26,11 +26,13 @@ def local_session(cpus: int = 8, name: str = "folioscan") -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset,
-    as in tests, a temporary folder is used.
+    ``spark.checkpoint.dir`` is read from the session; only a local session may
+    leave it unset, as in tests, and then uses a temporary folder.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscan-ckpt-"))
     return df.checkpoint()
 

@@ -47,9 +47,9 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def read_eval_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation rows from one JSON array per file, or from JSON lines."""
-    return spark.read.schema(EVAL_SCHEMA).option("multiLine", True).json(path)
+def read_eval_rows(spark: SparkSession, path: str, *, array: bool = False) -> DataFrame:
+    """Evaluation rows from JSON lines, or from one JSON array per file (``array``)."""
+    return spark.read.schema(EVAL_SCHEMA).option("multiLine", array).json(path)
 
 
 def config_hash(config: dict) -> str:
