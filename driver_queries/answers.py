@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driver_queries.base import query, sql_any, sql_list, table
 from driver_queries.coverage import contexts, expansion_pool, target_queries
-from driver_queries.themes import CLEAN, HIT_CTES, QUESTIONS, RULES, choose, sql_choose, themed_hits
+from driver_queries.themes import HIT_CTES, QUESTIONS, RULES, choose, sql_choose, themed_hits
 from folioscan.functions.text import stripped_lines
 from folioscan.operators import aggregation, evaluation, expansion, topic_answers, verification
 from folioscan.operators import answers as A
@@ -28,7 +28,7 @@ FORMS = (
 )
 
 ANSWER_CTE = f"""
-am AS (SELECT conv_id, turn, [trim(x) FOR x IN string_split(regexp_replace(text, '{CLEAN}', ' ', 'g'), chr(10)) IF trim(x) <> ''] AS ls
+am AS (SELECT conv_id, turn, [trim(x) FOR x IN string_split(text, chr(10)) IF trim(x) <> ''] AS ls
        FROM conversations WHERE role = 'assistant'),
 ans AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, turn, ls AS contexts,
    {sql_choose(QUESTIONS, 'conv_id * 7 + turn - 1')} AS question,
@@ -37,7 +37,7 @@ ans AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, turn, ls AS contexts
 
 
 def answers(spark, sf_dir):
-    lines = stripped_lines(F.regexp_replace("text", CLEAN, " "))
+    lines = stripped_lines(F.col("text"))
     i = F.col("conv_id")
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("contexts", lines)
     form = choose(FORMS, i + F.col("turn"))

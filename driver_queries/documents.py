@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from driver_queries.base import query, sql_any, sql_contains_any, sql_list, table
-from driver_queries.themes import CLEAN, QUESTIONS, RULES, choose, sql_choose, topics_in_sql
+from driver_queries.themes import QUESTIONS, RULES, choose, sql_choose, topics_in_sql
 from folioscan.operators import catalog, chunking, conversation, metadata_qa, runs, structure
 from folioscan.sources import pages as sources
 
@@ -181,7 +181,7 @@ def document_catalog(spark, sf_dir):
 
 TITLE_SQL = f"""
 t0 AS (SELECT doc_id, source, trim(regexp_replace({sql_choose(('', '8. ', 'Puji syukur ', 'a, b, c, d, ', 'Jurusan ', 'Penelitian terdahulu '), 'doc_id')}
-   || regexp_replace(split_part(text, chr(10), 1), '{CLEAN}', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents),
+   || split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS t FROM documents),
 rs AS (SELECT *, list_distinct([x FOR x IN [CASE WHEN t = '' THEN 'empty_title' END,
    CASE WHEN starts_with(lower(t), 'puji syukur') THEN 'preface_puji_syukur' END,
    CASE WHEN length(t) < 20 THEN 'too_short' END,
@@ -202,7 +202,7 @@ rs AS (SELECT *, list_distinct([x FOR x IN [CASE WHEN t = '' THEN 'empty_title'
 def display_metadata(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    first = F.regexp_replace(F.get(F.split("text", "\n"), 0), CLEAN, " ")
+    first = F.get(F.split("text", "\n"), 0)
     prefix = choose(("", "8. ", "Puji syukur ", "a, b, c, d, ", "Jurusan ", "Penelitian terdahulu "), i)
     cat = d.select(
         "doc_id", F.concat("source", F.lit(".pdf")).alias("source_file"),
@@ -260,7 +260,7 @@ def display_lookup(spark, sf_dir):
 
 TURN_CTE = f"""
 msg AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN {sql_choose(QUESTIONS, 'conv_id * 7 + turn')} || ' ' ELSE '' END
-    || regexp_replace(text, '{CLEAN}', ' ', 'g') AS text FROM conversations WHERE role IN ('user', 'assistant')),
+    || text AS text FROM conversations WHERE role IN ('user', 'assistant')),
 nx AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ntext FROM msg),
 pr AS (SELECT conv_id, turn, text AS query, CASE WHEN nrole = 'assistant' THEN ntext ELSE '' END AS answer FROM nx WHERE role = 'user'),
 turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, query,
@@ -273,7 +273,7 @@ def messages(spark, sf_dir):
     ask = F.concat(choose(QUESTIONS, F.col("conv_id") * 7 + F.col("turn")), F.lit(" "))
     return c.withColumn(
         "text",
-        F.concat(F.when(F.col("role") == "user", ask).otherwise(""), F.regexp_replace("text", CLEAN, " ")),
+        F.concat(F.when(F.col("role") == "user", ask).otherwise(""), F.col("text")),
     )
 
 

@@ -67,8 +67,6 @@ TARGETS = (
     ("RAD",),
 )
 
-CLEAN = r"[^A-Za-z0-9 .,?\n]"
-
 
 def choose(values, index: Column) -> Column:
     arr = F.array(*[F.lit(v) for v in values])
@@ -83,7 +81,7 @@ def sql_choose(values, index: str) -> str:
 
 QUESTION_CTE = f"""
 questions AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, turn,
-    {sql_choose(QUESTIONS, 'conv_id * 7 + turn')} || ' ' || regexp_replace(text, '{CLEAN}', ' ', 'g') AS text
+    {sql_choose(QUESTIONS, 'conv_id * 7 + turn')} || ' ' || text AS text
   FROM conversations WHERE role = 'user')"""
 
 
@@ -96,7 +94,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(
             " ",
             choose(QUESTIONS, F.col("conv_id") * 7 + F.col("turn")),
-            F.regexp_replace("text", CLEAN, " "),
+            F.col("text"),
         ).alias("text"),
     )
 
@@ -105,7 +103,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHUNK_CTE = f"""
 chunks AS (SELECT doc_id AS chunk_id,
-    {sql_choose(SENTENCES, 'doc_id')} || ' ' || regexp_replace(text, '{CLEAN}', ' ', 'g') AS text,
+    {sql_choose(SENTENCES, 'doc_id')} || ' ' || text AS text,
     'DOC_' || {sql_choose(DOC_NAMES, 'doc_id')} || '_' || (doc_id % 3) AS doc,
     {sql_choose(LABELS, 'doc_id')} AS label
   FROM documents)"""
@@ -115,7 +113,7 @@ def themed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         i.alias("chunk_id"),
-        F.concat_ws(" ", choose(SENTENCES, i), F.regexp_replace("text", CLEAN, " ")).alias("text"),
+        F.concat_ws(" ", choose(SENTENCES, i), F.col("text")).alias("text"),
         F.concat(F.lit("DOC_"), choose(DOC_NAMES, i), F.lit("_"), i % 3).alias("doc_id"),
         choose(LABELS, i).alias("label"),
     )
