@@ -14,7 +14,7 @@ from folioscan.sources import logs
 
 L, WL = RULES.pattern_lists, RULES.word_lists
 
-# {1} and {2} are the first and second line of the message.
+# {1} is the whole message in one line, {2} its last line.
 FORMS = (
     "Jawaban: {1}\nBukti:\n- {1} [CTX 1]\n- {2} [CTX 2]",
     "Jawaban: {1}\nBukti:\n- zebraqq [CTX 1]\n- {1} [CTX 1]",
@@ -32,8 +32,8 @@ am AS (SELECT conv_id, turn, [trim(x) FOR x IN string_split(text, chr(10)) IF tr
        FROM conversations WHERE role = 'assistant'),
 ans AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, turn, ls AS contexts,
    {sql_choose(QUESTIONS, 'conv_id * 7 + turn - 1')} AS question,
-   replace(replace(replace({sql_choose(tuple(f.replace(chr(10), '~') for f in FORMS), 'conv_id + turn')}, '~', chr(10)), '{{1}}', coalesce(ls[1], '')),
-       '{{2}}', coalesce(ls[2], ls[1], '')) AS answer FROM am)"""
+   replace(replace(replace({sql_choose(tuple(f.replace(chr(10), '~') for f in FORMS), 'conv_id + turn')}, '~', chr(10)), '{{1}}', array_to_string(ls, ' ')),
+       '{{2}}', coalesce(ls[len(ls)], '')) AS answer FROM am)"""
 
 
 def answers(spark, sf_dir):
@@ -41,8 +41,8 @@ def answers(spark, sf_dir):
     i = F.col("conv_id")
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("contexts", lines)
     form = choose(FORMS, i + F.col("turn"))
-    one = F.coalesce(F.get("contexts", 0), F.lit(""))
-    two = F.coalesce(F.get("contexts", 1), one)
+    one = F.array_join("contexts", " ")
+    two = F.coalesce(F.try_element_at("contexts", F.lit(-1)), F.lit(""))
     return rows.select(
         (i * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "turn", "contexts",
         choose(QUESTIONS, i * 7 + F.col("turn") - 1).alias("question"),
