@@ -71,7 +71,7 @@ def parsed_answers(spark, sf_dir):
     f"""WITH {ANSWER_CTE},
 c AS (SELECT answer_id, answer, len(contexts) AS used, [x::INT FOR x IN regexp_extract_all(answer, '(?i)\\[CTX\\s*(\\d+)\\]', 1)] AS nums FROM ans)
 SELECT answer_id, regexp_matches(answer, '(?i)(\\[CTX\\s*\\d+\\]|\\(CTX\\s*\\d+\\)|\\bCTX\\s*\\d+\\b)') AS cited, array_to_string(nums, ',') AS nums,
-  array_to_string([n FOR n IN list_distinct(list_sort(nums)) IF n BETWEEN 1 AND used], ',') IS NOT NULL AS has_valid,
+  array_to_string(list_sort([n FOR n IN list_distinct(nums) IF n BETWEEN 1 AND used]), ',') AS valid_nums,
   len(nums) = len([n FOR n IN nums IF n BETWEEN 1 AND used]) AS in_range,
   regexp_matches(trim(answer), '(?im)^\\s*Jawaban\\s*:') AND regexp_matches(trim(answer), '(?im)^\\s*Bukti\\s*:') AS valid_format FROM c""",
 )
@@ -81,7 +81,7 @@ def citation_checks(spark, sf_dir):
         "answer_id",
         A.has_citation("answer").alias("cited"),
         F.array_join(A.ctx_nums("answer"), ",").alias("nums"),
-        A.valid_ctx_nums(A.ctx_nums("answer"), used).isNotNull().alias("has_valid"),
+        F.array_join(F.array_sort(A.valid_ctx_nums(A.ctx_nums("answer"), used)), ",").alias("valid_nums"),
         A.citations_in_range("answer", used).alias("in_range"),
         A.valid_format("answer").alias("valid_format"),
     )
@@ -310,21 +310,24 @@ def log_tables(spark, sf_dir):
 
 EVAL_CTE = f"""{ANSWER_CTE},
 l AS (SELECT 'run' || (conv_id % 7) AS run_id, answer_id AS turn_id, answer_id % 5 <> 0 AS rec, question, answer, answer_id, conv_id,
-   EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = conv_id) AS known FROM ans),
+   d.doc_id IS NOT NULL AS known, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') AS doc_text
+   FROM ans LEFT JOIN documents d ON d.doc_id = conv_id),
 e AS (SELECT *, CASE answer_id % 4 WHEN 0 THEN known::INT + rec::INT WHEN 1 THEN rec::INT WHEN 2 THEN known::INT ELSE 0 END AS nctx,
    CASE answer_id % 4 WHEN 0 THEN known WHEN 2 THEN known ELSE false END AS f, answer_id % 4 IN (0, 1) AND rec AS p, answer_id % 8 = 3 AS old FROM l),
 x AS (SELECT *, CASE WHEN nctx > 0 THEN nctx WHEN old THEN 1 ELSE 0 END AS context_count,
    CASE WHEN nctx > 0 AND f AND p THEN 'index_plus_retrieval_fallback' WHEN nctx > 0 AND f THEN 'index_full' WHEN nctx > 0 THEN 'retrieval_join'
         WHEN old THEN 'answers_fallback' ELSE 'none' END AS context_source,
-   CASE answer_id % 4 WHEN 0 THEN 3 - nctx WHEN 1 THEN 1 - nctx WHEN 2 THEN 1 - nctx ELSE 0 END AS n_missing FROM e)"""
+   CASE answer_id % 4 WHEN 0 THEN 3 - nctx WHEN 1 THEN 1 - nctx WHEN 2 THEN 1 - nctx ELSE 0 END AS n_missing,
+   md5(concat_ws('|', CASE WHEN f THEN doc_text END, CASE WHEN p THEN 'pratinjau ' || answer_id END, CASE WHEN nctx = 0 AND old THEN 'lama' END)) AS ctx_md5,
+   CASE WHEN answer_id % 11 = 0 THEN 'metadata_route_skipped' WHEN (conv_id + turn_id - conv_id * 1000) % 9 = 2 THEN 'global_not_found_skipped'
+        WHEN nctx = 0 AND NOT old THEN 'no_final_contexts' END AS skip_reason FROM e)"""
 
 
 @query(
     "eval_join",
     f"""WITH {EVAL_CTE} SELECT run_id, turn_id, context_count, context_source, n_missing,
   CASE WHEN answer_id % 3 = 0 THEN 'retrieval_query' ELSE 'user_query' END AS question_source,
-  CASE WHEN answer_id % 11 = 0 THEN 'metadata_route_skipped' WHEN (conv_id + turn_id - conv_id * 1000) % 9 = 2 THEN 'global_not_found_skipped'
-       WHEN context_count = 0 THEN 'no_final_contexts' END AS skip_reason, rec AS retrieval_record_found,
+  skip_reason, ctx_md5, rec AS retrieval_record_found,
   CASE WHEN rec THEN 'mode2' END AS retrieval_mode FROM x""",
 )
 def eval_join(spark, sf_dir):
@@ -333,15 +336,25 @@ def eval_join(spark, sf_dir):
     return evaluation.audit_rows(rebuilt).select(
         "run_id", "turn_id", "context_count", "context_source",
         F.size("missing_context_chunk_ids").alias("n_missing"), "question_source", "skip_reason",
+        F.md5(F.array_join("contexts", "|")).alias("ctx_md5"),
         "retrieval_record_found", "retrieval_mode",
     )
 
 
-@query("eval_rows")
+@query(
+    "eval_rows",
+    f"""WITH {EVAL_CTE} SELECT run_id, turn_id, context_count, ctx_md5, q AS user_input, q AS question_eval, question AS question_user, a AS response
+FROM (SELECT *, CASE WHEN answer_id % 3 = 0 THEN question || ' detail' ELSE question END AS q,
+  regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS a FROM x WHERE skip_reason IS NULL)""",
+)
 def eval_rows(spark, sf_dir):
     ans, rec, chunks = log_tables(spark, sf_dir)
     rebuilt = evaluation.rebuild_contexts(ans, evaluation.last_per_key(rec), chunks)
-    return evaluation.normalize_eval_rows(evaluation.eval_rows(evaluation.audit_rows(rebuilt)))
+    rows = evaluation.normalize_eval_rows(evaluation.eval_rows(evaluation.audit_rows(rebuilt)))
+    return rows.select(
+        "run_id", "turn_id", "context_count", F.md5(F.array_join("retrieved_contexts", "|")).alias("ctx_md5"),
+        "user_input", "question_eval", "question_user", "response",
+    )
 
 
 METRIC_SQL = """m AS (SELECT source AS run_id, doc_id AS turn_id, quality IS NOT NULL AS matched, quality::DOUBLE AS faithfulness,

@@ -107,13 +107,13 @@ def tokens_sql(c: str) -> str:
 BM25_CTES = f"""
 tok AS (SELECT doc_id AS chunk_id, {tokens_sql('text')} AS toks FROM documents),
 stat AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM tok),
-post AS (SELECT chunk_id, dl, term, count(*) AS tf
+post AS MATERIALIZED (SELECT chunk_id, dl, term, count(*) AS tf
          FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM tok)
          GROUP BY chunk_id, dl, term),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-raw AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS r FROM dfs, stat),
+raw AS MATERIALIZED (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS r FROM dfs, stat),
 terms AS (SELECT term, df,
-                 CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+                 CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw, (SELECT avg(r) AS mean FROM raw)),
 qterm AS (SELECT query_id, term, count(*) AS qtf
           FROM (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark)
           GROUP BY query_id, term),

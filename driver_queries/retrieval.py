@@ -153,8 +153,17 @@ def dense_filtered(spark, sf_dir):
     return dense.dense_topk(vectors(spark, sf_dir), q, k=10).select(*HIT)
 
 
-@query("dense_cells")
+@query("dense_cells", f"WITH {DENSE_CTES}, {DENSE_HITS.format(k=10)} SELECT query_id, rank, chunk_id, score FROM de")
 def dense_cells(spark, sf_dir):
+    """All cells probed: the cell search then gives the exact result."""
+    v = vectors(spark, sf_dir)
+    centres = dense.train_cells(v, n_cells=8)
+    q = vector_queries(spark, sf_dir).select("query_id", "embedding")
+    return dense.dense_topk_cells(v, q, centres, k=10, n_probe=8).select(*HIT)
+
+
+@query("dense_cells_probed")
+def dense_cells_probed(spark, sf_dir):
     v = vectors(spark, sf_dir)
     centres = dense.train_cells(v, n_cells=8)
     q = vector_queries(spark, sf_dir).select("query_id", "embedding")
