@@ -35,12 +35,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def parts_of(spark: SparkSession, rows: int, part_rows: int) -> int:
+    """Tasks for so many rows, one per core at least."""
+    return int(max(spark.sparkContext.defaultParallelism, -(-rows // part_rows)))
+
+
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write a stage as Parquet in the shared folder and read it back.
 
-    Lost executors then cost no more than the tasks they ran.
+    Lost executors then cost no more than the tasks they ran.  ``parts`` bounds
+    the tasks of a stage that is known to be small.
     """
     path = shared_folder(df.sparkSession, name)
+    if parts is not None:
+        df = df.coalesce(parts)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -29,3 +29,10 @@ def test_stages_take_effect(spark):
 def test_run_agrees_with_itself(spark):
     first, again = (sorted(map(tuple, cp.run(spark, SF).collect())) for _ in range(2))
     assert first == again and first
+
+
+def test_entry_registers_one_query_for_each_operator():
+    import __spark_entry__ as e
+
+    names = [n for n in e.queries() if n.startswith("op") and n[2].isdigit()]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
