@@ -266,9 +266,9 @@ def write_token_files(
 
 
 def read_token_files(files: DataFrame, block_ids: int = 1 << 21) -> DataFrame:
-    """Per document of the listed files: doc_id, doc_start, n_tokens, ids_crc32."""
+    """Per document of the listed files: doc_id, start, n_tokens, ids_crc32."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("doc_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+        [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
     )
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def read_token_files(files: DataFrame, block_ids: int = 1 << 21) -> DataFrame:
     return (
         common.one_task_each(files.select("path", "base", "shard"), "shard")
         .select("path", "base")
-        .mapInArrow(read, "doc_id long, doc_start long, n_tokens long, ids_crc32 long")
+        .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
 

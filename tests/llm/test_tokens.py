@@ -73,3 +73,9 @@ def test_single_documents_by_select(docs, rows):
 
 def test_empty_table(no_docs):
     assert tokens.token_ids(no_docs, tokenizer_path()).count() == 0
+
+
+def test_columns_of_the_contract(docs):
+    out = tokens.token_ids(docs, tokenizer_path())
+    assert out.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert out.agg({"start": "min"}).first()[0] == 0
