@@ -9,20 +9,21 @@ compared exactly: weighted Jaccard similarity of the runs, counted with repeats.
 
 A window that shares no run with an item has similarity 0 to it, so windows are
 fingerprinted only where the document has a run of an item; that loses nothing.
-Documents are read once for each block of ``block_items`` items; a block is all
-that is broadcast.  No text is shuffled, and each document is worked on alone, so
+Equal texts are one entry with the list of its item ids.  Documents are read once for
+each block of ``block_items`` entries.  No text of a document is shuffled, and each document is worked on alone, so
 there is no hot key.
 
 Defined results: null and empty texts contain nothing; items without words match
 nothing; items of fewer than five words are one run of all their words; a document
 shorter than an item is one window; ties between windows go to the first; equal
-rows give equal results; empty tables give no rows; further columns are not looked
+documents give equal results, and repeated items one; empty tables give no rows; further columns are not looked
 at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -85,9 +86,13 @@ class HammingIndex:
 
 
 class Items:
-    """A block of benchmark items, ready for lookups."""
+    """A block of benchmark items, ready for lookups.
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int):
+    ``shared`` has the rising runs that several items of the whole benchmark hold, how
+    many do, and the number of all items; without it the block is the benchmark.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], radius: int, shared: tuple | None = None):
         words, first = common.word_hashes(pa.array(texts, pa.string()))
         self.ids, self.words = [], []
         for k, item_id in enumerate(ids):
@@ -96,9 +101,12 @@ class Items:
                 self.words.append(words[first[k] : first[k + 1]])
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.runs = [common.shingles(w, SHINGLE) for w in self.words]
-        every = np.concatenate([np.unique(r) for r in self.runs]) if self.runs else np.empty(0, np.uint64)
-        self.known, n = np.unique(every, return_counts=True)
-        self.rarity = 1.0 + np.log(max(1, len(self.runs)) / np.maximum(n, 1))
+        if shared is None:
+            every = np.concatenate([np.unique(r) for r in self.runs]) if self.runs else np.empty(0, np.uint64)
+            shared = *np.unique(every, return_counts=True), len(self.runs)
+        self.known, n, n_items = shared
+        self.most = 1.0 + np.log(max(1, n_items))
+        self.rarity = 1.0 + np.log(max(1, n_items) / np.maximum(n, 1))
         owner = np.concatenate([np.full(len(r), i) for i, r in enumerate(self.runs)]) if self.runs else np.empty(0, np.int64)
         place = np.concatenate([np.arange(len(r)) for r in self.runs]) if self.runs else np.empty(0, np.int64)
         flat = np.concatenate(self.runs) if self.runs else np.empty(0, np.uint64)
@@ -109,12 +117,11 @@ class Items:
         self.index = HammingIndex(prints, radius)
 
     def weight(self, runs: np.ndarray) -> np.ndarray:
-        """Rarity among the items of the block; runs of no item weigh most."""
-        most = 1.0 + np.log(max(1, len(self.runs)))
+        """Rarity among all items; runs of one item or none weigh most."""
         if not len(self.known):
-            return np.full(len(runs), most)
+            return np.full(len(runs), self.most)
         at = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
-        return np.where(self.known[at] == runs, self.rarity[at], most)
+        return np.where(self.known[at] == runs, self.rarity[at], self.most)
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
         """Weighted Jaccard similarity of two lists of runs, repeats counted."""
@@ -202,34 +209,37 @@ def contaminated(
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    n = benchmark.count()
-    n_blocks = max(1, -(-n // block_items))
-    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    out = None
+    entries = common.stored(
+        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+        .distinct()
+        .groupBy("text")
+        .agg(F.collect_list(F.struct("item_id")).alias("ids")),
+        "benchmark-texts",
+    )
+    table = spark.sparkContext.broadcast(None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for block in range(n_blocks):
-        own = benchmark.where(place == block).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
-        if len(own) > 2 * block_items:
-            raise ValueError("a block of items is larger than its bound")
-        items = spark.sparkContext.broadcast(([r[0] for r in own], [r[1] or "" for r in own]))
-        found = rows.mapInArrow(_finder(items, threshold, radius), FOUND)
+    out = None
+    left = entries.toLocalIterator()
+    while own := list(islice(left, block_items)):
+        block = spark.sparkContext.broadcast(([[x[0] for x in r["ids"]] for r in own], [r["text"] for r in own]))
+        found = rows.mapInArrow(_finder(block, table, threshold, radius), FOUND)
         out = found if out is None else out.unionByName(found)
-    return out
+    return spark.createDataFrame([], FOUND) if out is None else out
 
 
 _CACHE: dict = {}
 
 
-def _items(shared, radius: int) -> Items:
+def _items(block, table, radius: int) -> Items:
     """The block of a broadcast, indexed once per Python worker."""
-    key = (id(shared.value), radius)
+    key = (id(block.value), radius)
     if key not in _CACHE:
         _CACHE.clear()
-        _CACHE[key] = (shared.value, Items(*shared.value, radius))
+        _CACHE[key] = (block.value, Items([*range(len(block.value[1]))], block.value[1], radius, table.value))
     return _CACHE[key][1]
 
 
-def _finder(shared, threshold: float, radius: int):
+def _finder(block, table, threshold: float, radius: int):
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
@@ -244,7 +254,7 @@ def _finder(shared, threshold: float, radius: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = None
         for batch in batches:
-            items = items or _items(shared, radius)
+            items = items or _items(block, table, radius)
             if not items.ids:
                 return
             words, first = common.word_hashes(batch.column(1))
@@ -253,7 +263,7 @@ def _finder(shared, threshold: float, radius: int):
             for k in likely:
                 own = contained(items, words[first[k] : first[k + 1]], threshold)
                 doc_id = batch.column(0)[k].as_py()
-                rows.extend((doc_id, *x) for x in own)
+                rows.extend((doc_id, item_id, *x[1:]) for x in own for item_id in block.value[0][x[0]])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 

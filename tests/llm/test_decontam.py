@@ -73,3 +73,13 @@ def test_equals_all_windows(spark, docs, rows, clashing, no_docs, result):
     assert dc.contaminated(no_docs, bench).count() == 0
     assert dc.contaminated(docs, bench.limit(0)).count() == 0
     assert dc.clean(clashing, bench).columns == clashing.columns
+
+
+def test_repeated_items_fit_any_block(spark):
+    rng = random.Random(22)
+    text = sentence(rng, 12)
+    items = [(200, text)] * 30 + [(None, None)] * 30 + [(201, text)] + [(i, sentence(rng, 20)) for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(2, sentence(rng, 9) + " " + text), (4, None)], "doc_id long, text string")
+    found = dc.contaminated(docs, bench, block_items=5).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == [(2, 200), (2, 201)]
