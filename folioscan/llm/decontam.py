@@ -10,7 +10,9 @@ compared exactly: weighted Jaccard similarity of the runs, counted with repeats.
 A window that shares no run with an item has similarity 0 to it, so windows are
 fingerprinted only where the document has a run of an item; that loses nothing.
 Equal texts are one entry with the list of its item ids.  Documents are read once for
-each block of ``block_items`` entries.  No text of a document is shuffled, and each document is worked on alone, so
+each block of ``block_items`` entries.  Weights come from the whole benchmark: the runs
+that several items share are counted once and broadcast (16 bytes each) beside every
+block, so blocks don't change the result.  No text of a document is shuffled, and each document is worked on alone, so
 there is no hot key.
 
 Defined results: null and empty texts contain nothing; items without words match
@@ -216,7 +218,7 @@ def contaminated(
         .agg(F.collect_list(F.struct("item_id")).alias("ids")),
         "benchmark-texts",
     )
-    table = spark.sparkContext.broadcast(None)
+    table = spark.sparkContext.broadcast(_shared_runs(entries))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     left = entries.toLocalIterator()
@@ -227,6 +229,31 @@ def contaminated(
     return spark.createDataFrame([], FOUND) if out is None else out
 
 
+def _shared_runs(entries: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rising runs that two or more items of ``entries(text, ids)`` hold, how many do, and the number of items with words.
+
+    Any other run weighs as much as one of no item, so it need not be told.
+    """
+    schema = pa.schema([("run", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, first = common.word_hashes(batch.column(0))
+            for k, n in enumerate(batch.column(1).to_pylist()):
+                if first[k] < first[k + 1]:
+                    runs = np.unique(common.shingles(words[first[k] : first[k + 1]], SHINGLE)).view(np.int64)
+                    runs = pa.concat_arrays([pa.array(runs), pa.nulls(1, pa.int64())])  # null counts the items
+                    yield pa.RecordBatch.from_arrays([runs, pa.array(np.full(len(runs), n), pa.int64())], schema=schema)
+
+    counted = entries.select("text", F.size("ids").cast("long").alias("n")).mapInArrow(count, "run long, n long")
+    totals = counted.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("run").isNull() | (F.col("n") > 1)).toArrow()
+    run, n = totals.column("run").combine_chunks(), np.asarray(totals.column("n"))
+    null = np.asarray(run.is_null())
+    runs, n_items = np.asarray(run.fill_null(0)).view(np.uint64)[~null], int(n[null].sum())
+    order = np.argsort(runs)
+    return runs[order], n[~null][order], n_items
+
+
 _CACHE: dict = {}
 
 

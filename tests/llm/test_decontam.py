@@ -83,3 +83,24 @@ def test_repeated_items_fit_any_block(spark):
     docs = spark.createDataFrame([(2, sentence(rng, 9) + " " + text), (4, None)], "doc_id long, text string")
     found = dc.contaminated(docs, bench, block_items=5).select("doc_id", "item_id").collect()
     assert sorted(map(tuple, found)) == [(2, 200), (2, 201)]
+
+
+def test_blocks_and_repeated_items_change_nothing(spark):
+    rng = random.Random(21)
+    common_part, tail = sentence(rng, 120), sentence(rng, 12)
+    items = [(i, common_part if i < 12 else common_part + " " + sentence(rng, 6)) for i in range(24)]
+    items += [(100 + i, sentence(rng, 20)) for i in range(12)] + [(200, tail)] * 30 + [(None, None)] * 30 + [(201, tail)]
+    w = common_part.split()
+    w[30] = "edited"
+    rows = [(1, " ".join(w)), (2, sentence(rng, 9) + " " + tail), (3, items[30][1] + " " + " ".join(w[:40])), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda n: sorted(map(tuple, dc.contaminated(docs, bench, block_items=n).collect()))
+    want = found(1000)
+    assert [r[1] for r in want if r[0] == 2] == [200, 201]
+    assert any(r[0] == 1 and r[5] < 1 for r in want)
+    assert found(5) == want
+    kept = [(i, t or "") for i, t in dict.fromkeys(items)]
+    whole = dc.Items([i for i, _ in kept], [t for _, t in kept], 23)
+    for doc_id, text in rows[:3]:
+        assert {r[1]: round(r[5], 9) for r in want if r[0] == doc_id} == brute(whole, text, 0.8)
