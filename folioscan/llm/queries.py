@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscan.llm import common, decontam, licences, linededup, mixing, ordermin, quality, sharding, tokens, wand, warc
+from folioscan.llm import (
+    common, decontam, dialogue, licences, linededup, mixing, negatives, ordermin, packing, quality, sharding, tokens, wand, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +122,38 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_order_minhash")
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.near_duplicates(common.documents(spark, sf_dir))
+
+
+@query("op11_dialogue_repair", dialogue.REPAIR_SQL)
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_digest(dialogue.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+@query(
+    "op12_packed_negatives",
+    """
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+               FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                      list_dot_product(a.v, c.v)::BIGINT AS score
+               FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+         p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+               QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+         n AS (SELECT anchor_id, positive_id,
+                      row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+                      vec_id AS negative_id, positive_score, score AS negative_score
+               FROM p JOIN s USING (anchor_id)
+               WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+    SELECT * FROM n WHERE rank <= 10
+    """,
+)
+def op12_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.packed(common.documents(spark, sf_dir), tokenizer_path()))

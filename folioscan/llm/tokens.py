@@ -137,19 +137,21 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 class Encoder:
     """Ids of whole texts as bytes, equal to those of the tokenizers library.
 
-    The vocabulary file cuts a text into words before it merges, so the ids of a
-    text are those of its words in order.  The library encodes every distinct
-    word once per Python worker; a full cache is emptied.  That holds for files that drop
-    white space and cut as ``PIECE`` says, and for texts of plain Latin
-    characters; any other text goes to the library whole.
+    The vocabulary file cuts a text at white space and into pieces before it merges,
+    so the ids of a text are those of its pieces in order.  The library encodes every
+    distinct piece once per Python worker, and words between white space are looked up
+    whole; a full cache is emptied.  That holds for files that drop white space and
+    cut as ``PIECE`` says, and for texts of plain Latin characters; any other text
+    goes to the library whole.
     """
 
-    def __init__(self, path: str, id_bytes: int, by_piece: bool, cache_size: int = 400_000):
+    def __init__(self, path: str, id_bytes: int, by_piece: bool, cache_size: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype, self.by_piece, self.cache_size = f"<u{id_bytes}", by_piece, cache_size
+        self.words: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -158,19 +160,26 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) > self.cache_size:
+            self.words.clear()
+        if len(self.cache) > self.cache_size:
+            self.cache.clear()
+        pieces = {w: PIECE.findall(w) for w in {w for w in words if w not in self.words}}
+        new = list({p for own in pieces.values() for p in own if p not in self.cache})
+        self.cache.update(zip(new, self._library(new)))
+        for w, own in pieces.items():
+            self.words[w] = b"".join([self.cache[p] for p in own])
+
     def encode(self, text: str) -> bytes:
         if not self.by_piece or "<|" in text or not PLAIN.fullmatch(text):
             return self._library([text])[0]
-        pieces = PIECE.findall(text.lower())
-        cache = self.cache
+        words = text.lower().split()
         try:
-            return b"".join([cache[p] for p in pieces])
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            if len(cache) > self.cache_size:
-                cache.clear()
-            new = list({p for p in pieces if p not in cache})
-            cache.update(zip(new, self._library(new)))
-            return b"".join([cache[p] for p in pieces])
+            self._learn(words)
+            return b"".join(map(self.words.__getitem__, words))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
