@@ -53,6 +53,24 @@ def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored stages of one operator, which it drops when its result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def stored(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        out = stored(df, f"{self.name}-{name}", parts)
+        self.paths += [f.rpartition("/")[0] for f in out.inputFiles()[:1]]
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            store, folder = open_store(path)
+            store.delete_dir(folder)
+        self.paths = []
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
