@@ -10,6 +10,7 @@ from driver_queries.themes import HIT_CTES, QUESTIONS, RULES, choose, sql_choose
 from folioscan.functions.text import stripped_lines
 from folioscan.operators import aggregation, evaluation, expansion, topic_answers, verification
 from folioscan.operators import answers as A
+from folioscan.session import job_folder
 from folioscan.sources import logs
 
 L, WL = RULES.pattern_lists, RULES.word_lists
@@ -411,3 +412,23 @@ def retrieval_records(spark, sf_dir):
         F.get("retrieved_nodes", 0)["doc_id"].alias("first_doc"),
         F.array_max(F.transform("retrieved_nodes", lambda n: F.length(n["text"]))).alias("longest"),
     )
+
+
+@query(
+    "log_append",
+    """SELECT 'conv' || conv_id AS run_id, turn::VARCHAR AS turn_id, text AS user_query, role AS strategy
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL""",
+)
+def log_append(spark, sf_dir):
+    """Two batches of a log, the first of them appended twice, read once."""
+    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    rows = c.select(
+        "conv_id", F.concat(F.lit("conv"), "conv_id").alias("run_id"), F.col("turn").cast("string").alias("turn_id"),
+        F.col("text").alias("user_query"), F.col("role").alias("strategy"),
+    )
+    path = job_folder(spark, "answers-log")
+    for batch in ("even", "odd", "even"):
+        own = F.col("conv_id") % 2 == (0 if batch == "even" else 1)
+        logs.append_jsonl(rows.where(own).drop("conv_id"), path, batch)
+    read, _ = logs.read_jsonl(spark, path, logs.ANSWER_SCHEMA)
+    return read.select("run_id", "turn_id", "user_query", "strategy")

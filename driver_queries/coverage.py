@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_queries.base import query, sql_any
+from driver_queries.base import query, sql_any, tokens_sql
 from driver_queries.themes import (
     CHUNK_CTE,
     FLAG_CTES,
@@ -19,7 +19,7 @@ from driver_queries.themes import (
     themed_hits,
     topic_list_sql,
 )
-from folioscan.operators import aggregation, coverage, expansion, filters, rerank, stats
+from folioscan.operators import aggregation, coverage, expansion, filters, lexical, rerank, stats
 
 L = RULES.pattern_lists
 
@@ -364,6 +364,37 @@ def template_queries(spark, sf_dir):
     )
 
 
+@query(
+    "expansion_hits",
+    f"""WITH {HIT_CTES},
+q AS (SELECT query_id, any_value(targets[1]) AS topic, arg_min(doc_id, rank) AS f_doc FROM hits GROUP BY query_id),
+x AS (SELECT query_id, n, f_doc, replace({sql_choose(RULES.templates['steps_queries'], 'n')}, '{{label}}',
+        CASE topic {' '.join(f"WHEN '{t.name}' THEN '{t.label}'" for t in RULES.topics)} END) AS text
+      FROM q, (SELECT unnest(range(0, 6)) AS n)),
+tok AS (SELECT chunk_id, doc, {tokens_sql('text')} AS toks FROM chunks),
+stat AS (SELECT count(*) AS n_chunks, avg(len(toks)) AS avgdl FROM tok),
+post AS (SELECT chunk_id, doc, dl, term, count(*) AS tf
+         FROM (SELECT chunk_id, doc, len(toks) AS dl, unnest(toks) AS term FROM tok) GROUP BY ALL),
+raw AS (SELECT term, ln((n_chunks - count(*) + 0.5) / (count(*) + 0.5)) AS r FROM post, stat GROUP BY term, n_chunks),
+terms AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw, (SELECT avg(r) AS mean FROM raw)),
+xt AS (SELECT query_id, n, f_doc, term, count(*) AS qtf
+       FROM (SELECT query_id, n, f_doc, unnest({tokens_sql('text')}) AS term FROM x) GROUP BY ALL),
+sc AS (SELECT query_id, n, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM post JOIN xt ON xt.term = post.term AND f_doc = doc JOIN terms ON terms.term = post.term, stat GROUP BY query_id, n, chunk_id),
+top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC, chunk_id) <= 3)
+SELECT query_id, chunk_id, max(score) AS score, min(n) AS n FROM top GROUP BY query_id, chunk_id""",
+)
+def expansion_hits(spark, sf_dir):
+    """The template searches run inside their documents and come back as hits."""
+    q = themed_hits(spark, sf_dir).groupBy("query_id").agg(
+        F.first(F.get("targets", 0)).alias("topic"), F.min_by("doc_id", "rank").alias("target_doc")
+    )
+    searches = expansion.template_queries(q, RULES, kind="steps", max_queries=6)
+    chunks = themed_chunks(spark, sf_dir).select("*", F.col("chunk_id").alias("ord"), F.lit("all").alias("stream"))
+    found = expansion.search_inside(searches, lexical.build_bm25_index(chunks), chunks, k=3)
+    return found.select("query_id", "chunk_id", "score", "n")
+
+
 # -- ownership: every document chunk is a hit of one of six topic queries ----------------
 
 OWN_TOPICS = tuple(t.name for t in RULES.topics)

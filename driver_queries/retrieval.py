@@ -16,6 +16,7 @@ from driver_queries.base import (
     vector_queries,
     vectors,
 )
+from folioscan.session import job_folder
 from folioscan.operators import dense, filters, fusion, lexical, rerank, stats
 from folioscan.settings import Bm25Settings
 
@@ -72,6 +73,20 @@ def bm25_topk(spark, sf_dir):
     return bm25_hits(spark, sf_dir).select(*HIT)
 
 
+@query(
+    "bm25_stored",
+    f"WITH {BM25_CTES}, {BM25_HITS.format(k=10)} SELECT query_id, rank, chunk_id, score FROM bm",
+)
+def bm25_stored(spark, sf_dir):
+    """The index is saved, loaded and searched."""
+    path = job_folder(spark, "bm25")
+    index = lexical.build_bm25_index(doc_chunks(spark, sf_dir)).persist()
+    lexical.save_bm25_index(index, path)
+    index.unpersist()
+    stored = lexical.load_bm25_index(spark, path, stream="all")
+    return lexical.bm25_topk(stored, benchmark_queries(spark, sf_dir), k=10).select(*HIT)
+
+
 @query(
     "bm25_plus1_by_stream",
     f"""
@@ -153,6 +168,34 @@ def dense_filtered(spark, sf_dir):
     return dense.dense_topk(vectors(spark, sf_dir), q, k=10).select(*HIT)
 
 
+@query(
+    "bm25_in_document",
+    f"""WITH {BM25_CTES},
+asked AS (SELECT item_id AS query_id, source AS f_doc FROM benchmark JOIN documents ON doc_id = item_id),
+own AS (SELECT scored.* FROM scored JOIN asked USING (query_id) JOIN documents ON doc_id = chunk_id AND source = f_doc)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score
+FROM own QUALIFY rank <= 5""",
+)
+def bm25_in_document(spark, sf_dir):
+    """Passages searched within the source of the document with their number."""
+    chunks = doc_chunks(spark, sf_dir)
+    index = lexical.build_bm25_index(chunks)
+    f_doc = chunks.select(F.col("chunk_id").alias("query_id"), F.col("doc_id").alias("f_doc"))
+    q = benchmark_queries(spark, sf_dir).join(f_doc, "query_id")
+    return lexical.bm25_topk(index, q, k=5, docs=chunks).select(*HIT)
+
+
+@query(
+    "dense_in_document",
+    f"""WITH {DENSE_CTES}, own AS (SELECT * FROM dist WHERE doc_id = (query_id % 10))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank,
+       chunk_id, score FROM own QUALIFY rank <= 5""",
+)
+def dense_in_document(spark, sf_dir):
+    q = vector_queries(spark, sf_dir).select("query_id", "embedding", (F.col("query_id") % 10).alias("f_doc"))
+    return dense.dense_topk(vectors(spark, sf_dir), q, k=5).select(*HIT)
+
+
 @query("dense_cells", f"WITH {DENSE_CTES}, {DENSE_HITS.format(k=10)} SELECT query_id, rank, chunk_id, score FROM de")
 def dense_cells(spark, sf_dir):
     """All cells probed: the cell search then gives the exact result."""
@@ -309,15 +352,15 @@ def dedupe_best(spark, sf_dir):
 
 RERANK_CTES = f"""{RRF_CTES},
 qt AS (SELECT item_id AS query_id, list_distinct({tokens_sql('text')}) AS qtok FROM benchmark),
-rs AS (SELECT hy.*, round(len(list_intersect(qtok, list_distinct({tokens_sql('d.text')}))) / len(qtok), 6) AS rerank_score
-       FROM hy JOIN documents d ON d.doc_id = chunk_id JOIN qt USING (query_id)),
+rs AS (SELECT hy.*, round(len(list_intersect(qtok, list_distinct({tokens_sql("coalesce(d.text, '')")}))) / len(qtok), 6) AS rerank_score
+       FROM hy LEFT JOIN documents d ON d.doc_id = chunk_id JOIN qt USING (query_id)),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rerank_rank
        FROM rs QUALIFY rerank_rank <= 3)"""
 
 
 def with_text(spark, sf_dir, hits):
     texts = doc_chunks(spark, sf_dir).select("chunk_id", "text")
-    return hits.join(texts, "chunk_id")
+    return hits.join(texts, "chunk_id", "left")  # a hit without a text stays and scores 0
 
 
 def reranked_hits(spark, sf_dir):

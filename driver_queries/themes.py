@@ -123,7 +123,10 @@ def themed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HITS_K = 12
 
-HIT_CTES = f"""{DENSE_CTES}, {DENSE_HITS.format(k=HITS_K)}, {CHUNK_CTE},
+#: only vectors of documents are searched, so that every hit has a text
+DOC_DENSE_CTES = DENSE_CTES.replace("FROM qv, embeddings)", "FROM qv, embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")
+
+HIT_CTES = f"""{DOC_DENSE_CTES}, {DENSE_HITS.format(k=HITS_K)}, {CHUNK_CTE},
 hits AS (SELECT de.query_id, de.rank, de.chunk_id, de.score, c.text, c.doc AS doc_id, c.label,
      ({'[' + ', '.join(sql_list(t) for t in TARGETS) + ']'})[1 + de.query_id % {len(TARGETS)}] AS targets
    FROM de JOIN chunks c USING (chunk_id))"""
@@ -135,8 +138,9 @@ def target_array(index: Column) -> Column:
 
 
 def themed_hits(spark: SparkSession, sf_dir: str, k: int = HITS_K) -> DataFrame:
+    known = themed_chunks(spark, sf_dir).select("chunk_id")
     hits = dense.dense_topk(
-        vectors(spark, sf_dir), vector_queries(spark, sf_dir).select("query_id", "embedding"), k=k
+        vectors(spark, sf_dir).join(known, "chunk_id", "left_semi"), vector_queries(spark, sf_dir).select("query_id", "embedding"), k=k
     )
     return (
         hits.select("query_id", "rank", "chunk_id", "ord", "score")

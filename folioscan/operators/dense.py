@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioscan.functions.text import col
-from folioscan.session import query_blocks
 
 FILTERS = ("f_year", "f_program", "f_author")
 FILTERED = ("year", "program", "author")
@@ -42,17 +43,15 @@ def dense_topk(
 ) -> DataFrame:
     """Exact top ``k`` by squared L2 distance, smaller first, ties by ``ord``.
 
-    ``vectors(chunk_id, ord, embedding[, year, program, author])`` is scanned
-    once per query block; ``queries(query_id, embedding[, f_year, f_program,
-    f_author])`` travels in blocks of a checked size.  Each task keeps the best
-    ``k`` per query over all its batches, so the shuffle carries ``k`` rows per
-    query and task.  Filters are applied before the search.
+    ``vectors(chunk_id, ord, embedding[, year, program, author, doc_id])`` and
+    ``queries(query_id, embedding[, f_year, f_program, f_author, f_doc])`` meet as rows
+    in tasks: queries in groups of about ``max_query_rows``, each of them once with
+    every vector.  No query passes the driver, and each task keeps the best ``k`` per
+    query over all its batches, so the last shuffle carries ``k`` rows per query and
+    task.  Filters are applied before the search.  With ``f_doc`` a query only meets the
+    vectors of that document, found by an equi-key (a query without one finds nothing).
     """
-    parts = [
-        _search_block(vectors, block, k, keep, None, 0)
-        for block in query_blocks(queries, "query_id", max_query_rows)
-    ]
-    return _ranked(reduce(DataFrame.unionByName, parts), k)
+    return _ranked(_search(vectors, queries, k, keep, None, 0, max_query_rows), k)
 
 
 def train_cells(vectors: DataFrame, *, n_cells: int, sample: float = 1.0, seed: int = 7):
@@ -84,11 +83,7 @@ def dense_topk_cells(
     The scan is the one of :func:`dense_topk`; the cell of a vector is found
     inside the task, so a cell with a third of all vectors is never gathered.
     """
-    parts = [
-        _search_block(vectors, block, k, keep, centres, n_probe)
-        for block in query_blocks(queries, "query_id", max_query_rows)
-    ]
-    return _ranked(reduce(DataFrame.unionByName, parts), k)
+    return _ranked(_search(vectors, queries, k, keep, centres, n_probe, max_query_rows), k)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -100,71 +95,138 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _search_block(vectors, block, k, keep, centres, n_probe) -> DataFrame:
-    spark = vectors.sparkSession
-    filters = [c for c in FILTERS if c in block.columns]
+def _meet(vectors: DataFrame, queries: DataFrame, max_query_rows: int) -> DataFrame:
+    """Queries and vectors in one table, sorted by (``_a``, ``_b``) with the queries first.
+
+    With ``f_doc`` a pair of keys is a document and a split of its vectors, else a group
+    of queries and a split of all vectors.  Queries are repeated for every split.
+    """
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    split = lambda n: F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if "f_doc" in queries.columns:
+        # a document of a third of all vectors is spread over all cores
+        q = queries.where("f_doc IS NOT NULL").withColumn("_a", F.col("f_doc").cast("string")).withColumn("_b", every(cores))
+        wanted = q.select("_a").distinct()
+        v = vectors.withColumn("_a", F.col("doc_id").cast("string")).join(wanted, "_a", "left_semi").withColumn("_b", split(cores))
+        parts = None
+    else:
+        groups = max(1, -(-queries.count() // max_query_rows))
+        splits = max(1, -(-2 * cores // groups))
+        group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("string")
+        q = queries.withColumn("_a", group).withColumn("_b", every(splits))
+        v = vectors.withColumn("_a", every(groups)).withColumn("_a", F.col("_a").cast("string")).withColumn("_b", split(splits))
+        parts = groups * splits
+    both = q.withColumnRenamed("embedding", "_q").unionByName(v, allowMissingColumns=True)
+    both = both.repartitionByRange(parts, "_a", "_b") if parts else both.repartition("_a", "_b")
+    return both.sortWithinPartitions("_a", "_b", F.col("_q").isNull())
+
+
+class _Best:
+    """The best rows of one query: distances, orders and an Arrow table of what is kept."""
+
+    def __init__(self):
+        self.d, self.order, self.rows = np.empty(0), np.empty(0, np.int64), None
+
+    def add(self, d: np.ndarray, order: np.ndarray, rows: pa.Table, k: int) -> None:
+        if self.rows is not None:
+            d, order = np.concatenate([self.d, d]), np.concatenate([self.order, order])
+            rows = pa.concat_tables([self.rows, rows])
+        pick = _smallest(d, order, k)
+        self.d, self.order, self.rows = d[pick], order[pick], rows.take(pick)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return flat.reshape(len(lists), -1)
+
+
+def _search(vectors, queries, k, keep, centres, n_probe, max_query_rows) -> DataFrame:
+    filters = [c for c in FILTERS if c in queries.columns]
     meta = [m for f, m in zip(FILTERS, FILTERED, strict=True) if f in filters]
-    # at most the checked number of queries: a matrix of a few MB
-    pdf = block.select("query_id", "embedding", *filters).toPandas()
-    matrix = (
-        np.vstack(pdf["embedding"].map(lambda v: np.asarray(v, dtype="float64")))
-        if len(pdf)
-        else np.zeros((0, 1))
-    )
-    # queries with equal filters share one mask
-    signatures: dict[tuple, list[int]] = {}
-    for i in range(len(pdf)):
-        values = (pdf[f].iat[i] for f in filters)
-        key = tuple(None if pd.isna(x) else x for x in values)
-        signatures.setdefault(key, []).append(i)
-    probes = _probe(matrix, centres, n_probe) if centres is not None and len(pdf) else None
-    shared = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), matrix, signatures, probes, centres))
+    doc = ["f_doc"] if "f_doc" in queries.columns else []
+    cols = list(dict.fromkeys(["chunk_id", "ord", "embedding", *meta, *keep, *(["doc_id"] if doc else [])]))
     fields = [
-        block.schema["query_id"],
+        queries.schema["query_id"],
         *[vectors.schema[c] for c in ("chunk_id", "ord", *keep)],
         T.StructField("score", T.DoubleType()),
     ]
+    fields = [T.StructField(f.name, f.dataType, True) for f in fields]
+    out_schema = to_arrow_schema(T.StructType(fields))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q, groups, probed, cells = shared.value
-        best: dict[int, pd.DataFrame] = {}
+    def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            if not len(batch) or not len(q):
+            at = list(zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist()))
+            first = 0
+            for i in range(1, len(at) + 1):
+                if i == len(at) or at[i] != at[first]:
+                    yield at[first], pa.Table.from_batches([batch.slice(first, i - first)])
+                    first = i
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, state = None, [], None
+
+        def ready() -> tuple:
+            q = pa.concat_tables(asked)
+            signatures: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[q.column(f).to_pylist() for f in filters]) if filters else [()] * len(q)):
+                signatures.setdefault(key, []).append(i)
+            matrix = _matrix(q.column("_q"))
+            probes = _probe(matrix, centres, n_probe) if centres is not None else None
+            return q.column("query_id"), matrix, signatures, probes, [_Best() for _ in range(len(q))]
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if state is None:
+                return
+            ids, best = state[0], state[4]
+            for i, b in enumerate(best):
+                if b.rows is not None and len(b.rows):
+                    n = len(b.rows)
+                    columns = [pa.array([ids[i].as_py()] * n, out_schema.field(0).type)]
+                    columns += [b.rows.column(c).combine_chunks() for c in ("chunk_id", "ord", *keep)] + [pa.array(b.d)]
+                    columns = [c.cast(f.type) for c, f in zip(columns, out_schema)]
+                    yield from pa.Table.from_arrays(columns, schema=out_schema).to_batches()
+
+        for key, rows in groups_of(batches):
+            if key != at:
+                yield from result()
+                at, asked, state = key, [], None
+            is_query = pc.is_valid(rows.column("_q"))
+            some = rows.filter(is_query)
+            if len(some):
+                asked.append(some)
+            batch = rows.filter(pc.invert(is_query))
+            if not len(batch) or not asked:
                 continue
-            v = np.vstack(batch["embedding"].map(lambda x: np.asarray(x, dtype="float64")))
+            if state is None:
+                state = ready()
+            _, q, signatures, probes, best = state
+            v = _matrix(batch.column("embedding"))
             vv = np.einsum("ij,ij->i", v, v)
-            cell = _nearest(v, cells) if cells is not None else None
-            orders = batch["ord"].to_numpy()
-            for signature, members in groups.items():
-                mask = _mask(batch, meta, signature)
-                rows = np.flatnonzero(mask)
-                if not len(rows):
+            cell = _nearest(v, centres) if centres is not None else None
+            orders = batch.column("ord").to_numpy()
+            kept = batch.select(list(dict.fromkeys(["chunk_id", "ord", *keep])))
+            frame = batch.select(meta).to_pandas() if meta else pd.DataFrame(index=range(len(batch)))
+            for signature, members in signatures.items():
+                pool = np.flatnonzero(_mask(frame, meta, signature))
+                if not len(pool):
                     continue
                 qm = q[members]
-                d = (qm * qm).sum(1)[:, None] + vv[rows][None, :] - 2.0 * (qm @ v[rows].T)
+                d = (qm * qm).sum(1)[:, None] + vv[pool][None, :] - 2.0 * (qm @ v[pool].T)
                 d = np.round(np.maximum(d, 0.0), 6)
                 for j, i in enumerate(members):
-                    pool = np.arange(len(rows))
-                    if probed is not None:
-                        pool = np.flatnonzero(np.isin(cell[rows], probed[i]))
-                    pick = _smallest(d[j][pool], orders[rows[pool]], k)
-                    if not len(pick):
-                        continue
-                    sel = pool[pick]
-                    found = batch.iloc[rows[sel]][["chunk_id", "ord", *keep]].assign(
-                        score=d[j][sel]
-                    )
-                    if i in best:
-                        found = pd.concat([best[i], found])
-                        found = found.sort_values(["score", "ord"]).head(k)
-                    best[i] = found
-        for i, found in best.items():
-            out = found.copy()
-            out.insert(0, "query_id", qids[i])
-            yield out
-
-    cols = ["chunk_id", "ord", "embedding", *dict.fromkeys([*meta, *keep])]
-    return vectors.select(*cols).mapInPandas(search, T.StructType(fields))
+                    ok = np.ones(len(pool), bool) if probes is None else np.isin(cell[pool], probes[i])
+                    if len(best[i].d) == k:
+                        ok &= d[j] <= best[i].d[-1]
+                    own = np.flatnonzero(ok)
+                    own = own[_smallest(d[j][own], orders[pool[own]], k)]
+                    if len(own):
+                        best[i].add(d[j][own], orders[pool[own]], kept.take(pool[own]), k)
+        yield from result()
+
+    both = _meet(vectors.select(*cols), queries.select("query_id", "embedding", *filters, *doc), max_query_rows)
+    return both.mapInArrow(search, T.StructType(fields))
 
 
 def _mask(batch: pd.DataFrame, meta: list[str], signature: tuple) -> np.ndarray:

@@ -227,7 +227,9 @@ def metric_columns(df: DataFrame) -> dict[str, str]:
 def with_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
     """Metric values joined on the row key; NaN is missing; adds row status.
 
-    Rows without a metric row stay and have status ``unmatched``.
+    Rows without a metric row stay and have status ``unmatched``.  Several metric rows of
+    one key are one row with the means of what they hold (``metric_rows`` of them), so
+    that no row is counted twice.
     """
     cols = metric_columns(metrics)
     picked = keyed(metrics).select(
@@ -237,18 +239,17 @@ def with_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
              if m in cols else F.lit(None).cast("double")).alias(m)
             for m in METRICS
         ],
-    )
+    ).groupBy(*KEY).agg(*[F.avg(m).alias(m) for m in METRICS], F.count("*").alias("metric_rows"))
     missing = F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.lit(m)) for m in METRICS]))
     return (
-        rows.join(picked.withColumn("_matched", F.lit(True)), KEY, "left")
+        rows.join(picked, KEY, "left")
         .withColumn("missing_metrics", missing)
         .withColumn(
             "row_status",
-            F.when(F.col("_matched").isNull(), "unmatched")
+            F.when(F.col("metric_rows").isNull(), "unmatched")
             .when(F.size("missing_metrics") > 0, "partial")
             .otherwise("ok"),
         )
-        .drop("_matched")
     )
 
 

@@ -16,6 +16,7 @@ from folioscan.functions.topics import (
     steps_strength,
 )
 from folioscan.functions.windows import by_query
+from folioscan.operators.lexical import Bm25Index, bm25_topk
 from folioscan.operators.coverage import pick_first, unpicked, with_topic_columns
 from folioscan.operators.steps import valid_step_items
 from folioscan.rules import RuleSet
@@ -50,6 +51,41 @@ def template_queries(
     )
 
 
+def search_inside(searches: DataFrame, index: Bm25Index, chunks: DataFrame, *, k: int = 3) -> DataFrame:
+    """Hits of :func:`template_queries` within their documents, best first for each query.
+
+    ``chunks(chunk_id, doc_id)``.  One row per (query, chunk): the best score of all its
+    searches and the first of them (``n``) that found it.
+    """
+    asked = searches.select(F.col("expansion_id").alias("query_id"), "f_doc", "text")
+    hits = bm25_topk(index, asked, k=k, docs=chunks)
+    of = searches.select("expansion_id", F.col("query_id").alias("_q"), "n", "f_doc")
+    return (
+        hits.select(F.col("query_id").alias("expansion_id"), "chunk_id", "ord", "score")
+        .join(of, "expansion_id")
+        .groupBy(F.col("_q").alias("query_id"), "chunk_id", "ord", F.col("f_doc").alias("doc_id"))
+        .agg(F.max("score").alias("score"), F.min("n").alias("n"))
+    )
+
+
+def expansion_pool(base: DataFrame, found: DataFrame, chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """The input of :func:`explanation_expansion` and :func:`steps_expansion`.
+
+    ``base(query_id, chunk_id, ord, score)`` with distances, ``found`` from
+    :func:`search_inside`, ``chunks(chunk_id, doc_id, label, text)`` and
+    ``targets(query_id, topic, target_doc)``.  A chunk found both ways is a base row;
+    others take ``1 / (1 + score)`` as their distance.
+    """
+    rows = base.select("query_id", "chunk_id", "ord", "score", F.lit(True).alias("in_base")).unionByName(
+        found.select("query_id", "chunk_id", "ord", (1 / (1 + F.greatest("score", F.lit(0.0)))).alias("score"),
+                     F.lit(False).alias("in_base"))
+    )
+    once = rows.groupBy("query_id", "chunk_id", "ord").agg(
+        F.max_by("score", "in_base").alias("score"), F.max("in_base").alias("in_base")
+    )
+    return once.join(targets, "query_id").join(chunks.select("chunk_id", "doc_id", "label", "text"), "chunk_id")
+
+
 def explanation_target_doc(
     *, allowed: Column, accepted: Column, hit_docs: Column, mapped: Column
 ) -> Column:

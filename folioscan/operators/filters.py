@@ -137,24 +137,71 @@ def row_passes(
     )
 
 
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    if n == 0:
+        return F.array(F.lit(""))
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def _filters_with_hits(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """The filters that at least one row of metadata values passes.
+
+    A year alone is an equi-join.  A contained name is looked up by the rarest of its
+    grams, so that a filter only meets values that may hold it, up to the first that does.
+    """
+    by_year = asked.where("f_program IS NULL AND f_author IS NULL").join(
+        values, F.col("year") == F.col("f_year"), "left_semi"
+    )
+    kinds = [F.lit("program").alias("kind"), F.lit("author").alias("kind")]
+    grams = None
+    for kind, name in zip(kinds, ("program", "author")):
+        text = F.col(name)
+        every = F.array_distinct(F.concat(*[_grams(text, n) for n in range(GRAM + 1)]))
+        part = values.where(text.isNotNull()).select("year", "program", "author", kind, F.explode(every).alias("gram"))
+        grams = part if grams is None else grams.unionByName(part)
+    named = asked.where("f_program IS NOT NULL OR f_author IS NOT NULL").select(
+        "*",
+        F.when(F.col("f_program").isNotNull(), "program").otherwise("author").alias("kind"),
+        F.coalesce("f_program", "f_author").alias("name"),
+    )
+    size = F.least(F.length("name"), F.lit(GRAM))
+    own = F.when(size == 0, _grams(F.col("name"), 0))
+    for n in range(1, GRAM + 1):
+        own = own.when(size == n, _grams(F.col("name"), n))
+    counts = grams.groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    filter_cols = ["f_year", "f_program", "f_author"]
+    rarest = (
+        named.select(*filter_cols, "kind", F.explode(own).alias("gram"))
+        .join(counts, ["kind", "gram"], "left")
+        .groupBy(*filter_cols, "kind")
+        .agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    )
+    r, g = rarest.alias("r"), grams.alias("g")
+    same = (F.col("r.kind") == F.col("g.kind")) & (F.col("r.gram") == F.col("g.gram"))
+    by_name = r.join(g, same & row_passes(), "left_semi").select(*filter_cols)
+    return by_year.select(*filter_cols).unionByName(by_name)
+
+
 def precheck(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Drop a filter that matches no chunk, with reason ``precheck_no_results``.
 
     Only the distinct metadata values of the corpus meet the distinct filters,
     never chunks and queries: both sides shrink by a partial aggregation before
-    anything is shuffled.  A filter with a year is an equi-join on it.
+    anything is shuffled, and meet by equi-joins.
     """
-    values = chunks.groupBy("year", "program", "author").agg(F.lit(True).alias("seen"))
+    values = chunks.groupBy("year", "program", "author").agg(F.lit(True).alias("seen")).drop("seen")
     asked = (
         queries.where(F.col("filter_applied"))
         .select("f_year", "f_program", "f_author")
         .distinct()
     )
-    with_year = asked.where(F.col("f_year").isNotNull()).join(
-        values, (F.col("year") == F.col("f_year")) & row_passes(), "left_semi"
-    )
-    no_year = asked.where(F.col("f_year").isNull()).join(values, row_passes(), "left_semi")
-    hit = with_year.unionByName(no_year).withColumn("filter_hits", F.lit(True))
+    hit = _filters_with_hits(asked, values).withColumn("filter_hits", F.lit(True))
     same = [F.col(f"q.f_{f}").eqNullSafe(F.col(f"h.f_{f}")) for f in FIELDS]
     joined = queries.alias("q").join(hit.alias("h"), same[0] & same[1] & same[2], "left")
     found = F.coalesce(F.col("h.filter_hits"), F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def job_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for stored tables that the driver and all executors can reach.
+
+    It lies in ``spark.checkpoint.dir``; only a local session may leave that unset, as
+    in tests, and then gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        root = tempfile.mkdtemp(prefix="folioscan-job-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input that comes in few splits.
 

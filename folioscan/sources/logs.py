@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscan.functions.text import ellipsis
@@ -43,8 +45,32 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return good, lines.where(bad).select("row._corrupt_record")
 
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, n_rows) of the batches that a log holds."""
+    try:
+        return spark.read.schema("batch string, n_rows bigint").json(f"{path}/_manifest")
+    except AnalysisException:  # no batch yet
+        return spark.createDataFrame([], "batch string, n_rows bigint")
+
+
+def append_jsonl(df: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Append rows to a JSON-lines log; with ``batch``, once however often it is repeated.
+
+    A batch is a folder of its own, written whole and then entered in the manifest.  A
+    batch in the manifest is not written again; what a run left that ended before its
+    entry is replaced.  Returns whether rows were written.
+    """
+    if batch is None:
+        df.write.mode("append").json(path)
+        return True
+    spark = df.sparkSession
+    if not batches(spark, path).where(F.col("batch") == batch).isEmpty():
+        return False
+    folder = f"{path}/batch={quote(batch, safe='')}"
+    df.write.mode("overwrite").json(folder)
+    n = spark.read.text(folder).count()
+    spark.createDataFrame([(batch, n)], "batch string, n_rows bigint").coalesce(1).write.mode("append").json(f"{path}/_manifest")
+    return True
 
 
 def read_eval_rows(spark: SparkSession, path: str, *, array: bool = False) -> DataFrame:

@@ -63,3 +63,21 @@ def test_zero_filling_keeps_negative_scores(spark):
     assert full == {**plain, 4: 0.0} and len(plain) == 4
     top = lexical.bm25_topk(index, queries, k=1, settings=settings, fill_zero=True, chunks=chunks).collect()
     assert [(r["chunk_id"], r["score"]) for r in top] == ([(4, 0.0)] if plain[0] < 0 else [(0, plain[0])])
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "turn_id string")
+    assert logs.append_jsonl(rows("1", "2"), path, "run/1") and not logs.append_jsonl(rows("1", "2"), path, "run/1")
+    rows("5").write.json(f"{path}/batch=half")  # a run that ended before its entry
+    assert logs.append_jsonl(rows("3"), path, "half")
+    read, bad = logs.read_jsonl(spark, path, logs.ANSWER_SCHEMA)
+    assert sorted(r["turn_id"] for r in read.collect()) == ["1", "2", "3"] and bad.count() == 0
+    assert sorted(map(tuple, logs.batches(spark, path).collect())) == [("half", 1), ("run/1", 2)]
+
+
+def test_several_metric_rows_of_a_key_count_once(spark):
+    rows = spark.createDataFrame([("r", 1), ("r", 2)], "run_id string, turn_id long")
+    metrics = spark.createDataFrame([("r", 1, 0.5), ("r", 1, 1.0), ("r", 1, None)], "run_id string, turn_id long, faithfulness double")
+    out = {r["turn_id"]: (r["faithfulness"], r["metric_rows"]) for r in evaluation.with_metrics(rows, metrics).collect()}
+    assert out == {1: (0.75, 3), 2: (None, None)}

@@ -178,3 +178,73 @@ def test_comparison_prefers_unused_contexts(spark):
     q = c.groupBy("query_id").agg(F.first("targets").alias("targets"))
     status = aggregation.comparison_status(chosen, q).first()
     assert status.comparison_status == "balanced_comparison" and status.shared_ctx == [1]
+
+
+def test_stored_index_keeps_its_partitioning(spark, tmp_path):
+    """Scores of (chunk, query) pairs are summed where the postings lie; only folders of the terms are read."""
+    index = lexical.build_bm25_index(chunks(spark))
+    lexical.save_bm25_index(index, str(tmp_path), buckets=3)
+    stored = lexical.load_bm25_index(spark, str(tmp_path))
+    q = spark.createDataFrame([(1, "rumah kota")], "query_id int, text string")
+    hits = lexical.bm25_topk(stored, q, k=2)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning(chunk_id" not in plan
+    assert "PartitionFilters" in plan and "term_part" in plan.split("PartitionFilters", 1)[1][:200]
+    name = lexical._table_name(f"{tmp_path}/plain", "postings")
+    want = sorted(map(tuple, hits.collect()))
+    spark.sql(f"DROP TABLE {name}")  # as a new session finds it
+    again = lexical.bm25_topk(lexical.load_bm25_index(spark, str(tmp_path)), q, k=2)
+    assert sorted(map(tuple, again.collect())) == want and want
+
+
+def test_search_inside_a_document(spark):
+    texts = DOCS * 3
+    df = chunks(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.col("chunk_id") % 4))
+    asked = [("a", "d1", "rumah besar"), ("b", "d2", "kota besar"), ("c", "none", "kota"), ("d", None, "kota")]
+    q = spark.createDataFrame(asked, "query_id string, f_doc string, text string")
+    hits = lexical.bm25_topk(lexical.build_bm25_index(df), q, k=3, docs=df)
+    want = []
+    for name, doc, text in asked:
+        scores = okapi(texts, text)
+        own = [i for i in range(len(texts)) if f"d{i % 4}" == doc and set(text.split()) & set(texts[i].split())]
+        own.sort(key=lambda i: (-scores[i], i))
+        want += [(name, n, i, scores[i]) for n, i in enumerate(own[:3], 1)]
+    assert sorted(map(tuple, hits.select("query_id", "rank", "chunk_id", "score").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_dense_search_in_groups_and_documents(spark, rows):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(80, 4))
+    vec = spark.createDataFrame([(2**60 + i, i, f"d{i % 3}", x.tolist()) for i, x in enumerate(v)], "chunk_id long, ord int, doc_id string, embedding array<double>")
+    q = spark.createDataFrame([(f"q{i}", v[i].tolist(), f"d{i % 4}") for i in range(10)], "query_id string, embedding array<double>, f_doc string")
+    d = np.round(((v[:10, None] - v[None]) ** 2).sum(-1), 6)
+    for inside in (False, True):
+        asked = q if inside else q.drop("f_doc")
+        got = dense.dense_topk(vec.repartition(5), asked, k=4, max_query_rows=rows, keep=("doc_id",))
+        want = []
+        for i in range(10):
+            own = [j for j in range(80) if not inside or j % 3 == i % 4]
+            own.sort(key=lambda j: (d[i, j], j))
+            want += [(f"q{i}", n, 2**60 + j, f"d{j % 3}") for n, j in enumerate(own[:4], 1)]
+        assert sorted(map(tuple, got.select("query_id", "rank", "chunk_id", "doc_id").collect())) == sorted(want)
+    assert dense.dense_topk(vec.limit(0), q, k=2).count() == 0 and dense.dense_topk(vec, q.limit(0), k=2).count() == 0
+
+
+def test_precheck_equals_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(0, 6)))
+    values = [(rng.choice([None, 2001, 2002]), rng.choice([None, word()]), rng.choice([None, word()])) for _ in range(30)]
+    filters_ = list(itertools.product([None, 2001, 2003], [None, "", "a", "ab", "abab", word()], [None, "b", "ba ", word()]))
+    q = spark.createDataFrame([(i, *f) for i, f in enumerate(filters_)], "query_id int, f_year int, f_program string, f_author string")
+    c = spark.createDataFrame(values, "year int, program string, author string")
+    out = filters.precheck(filters.limit_fields(q, 3), c)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["query_id"]: (r["filter_applied"], r["fallback_reason"]) for r in out.collect()}
+    for i, (y, p, a) in enumerate(filters_):
+        asked = any(x is not None for x in (y, p, a))
+        found = any((y is None or v[0] == y) and (p is None or (v[1] is not None and p in v[1])) and (a is None or (v[2] is not None and a in v[2])) for v in values)
+        assert got[i] == (asked and found, "precheck_no_results" if asked and not found else None), (y, p, a)
