@@ -16,9 +16,9 @@ MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     """Bound Arrow batches by bytes as well as rows, since single texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
