@@ -93,11 +93,7 @@ def repaired_answers(spark, sf_dir):
     """The fixed order of repairs: normalise, format, list, dedupe, move, clean."""
     rows = answers(spark, sf_dir)
     steps = {
-        "a1": lambda c: A.enforce_format(A.normalize_citations(A.strip_preamble(c)), RULES),
-        "a2": A.enforce_evidence_list,
-        "a3": A.dedupe_evidence,
-        "a4": A.move_cited_bullets,
-        "a5": A.clean_inline_bullets,
+        "a1": lambda c: A.repaired(c, RULES),
         "a6": lambda c: A.evidence_from_answer(c, labels=("RAD", "Prototyping")),
         "a7": A.fix_empty_numbers,
         "a8": A.strip_answer_citations,

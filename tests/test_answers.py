@@ -25,6 +25,12 @@ def value(spark, text, fn):
         ("Jawaban: y", lambda c: A.enforce_format(c, R), "Jawaban: y\n\nBukti: -"),
         ("Tidak ditemukan pada dokumen.", lambda c: A.enforce_format(c, R), NF),
         ("Jawaban: y\nBukti:\nsatu\ndua", A.enforce_evidence_list, "Jawaban: y\nBukti:\n- satu\n- dua"),
+        ("Jawaban: y\nBukti:\nsatu\n- dua", A.enforce_evidence_list, "Jawaban: y\nBukti:\n- satu\n- dua"),
+        ("Jawaban: y bukti: satu", A.enforce_evidence_list, "Jawaban: y bukti: satu"),
+        ("Pertanyaan: p\nJawaban: y (CTX 1)\n- (RAD) z CTX2\nBukti: satu [CTX 1]\n\nbukti",
+         lambda c: A.repaired(c, R), "Jawaban: y [CTX 1]\nBukti:\n- satu [CTX 1] bukti\n- (RAD) z [CTX 2]"),
+        (None, lambda c: A.repaired(c, R), NF),
+        ("Jawaban: y\nBukti: -", lambda c: A.repaired(c, R), "Jawaban: y\nBukti: -"),
         ("Jawaban: y\nBukti:\n- a [CTX 1]\n- A [CTX 2]\n- b", A.dedupe_evidence, "Jawaban: y\nBukti:\n- a [CTX 1]\n- b"),
         ("Jawaban: y\n- z [CTX 1]\nBukti: -", A.move_cited_bullets, "Jawaban: y\nBukti:\n- z [CTX 1]"),
         ("Jawaban: y\n- (RAD) tanpa\n- (RAD) ada [CTX 1]\nBukti: -", A.clean_inline_bullets, "Jawaban: y\nBukti:\n- (RAD) ada [CTX 1]"),
@@ -41,6 +47,29 @@ def test_answer_text(spark, text, fn, expected):
     assert value(spark, text, fn) == expected
 
 
+def test_one_parse_equals_the_rules_in_order(spark):
+    texts = ["Jawaban: a CTX 1\n- (RAD) b\n- (RAD) c [CTX 2]\nBukti:\nx [CTX 1]\n- X (CTX 3)\ny", "isi", "", "a Bukti:",
+             "JAWABAN RAD: a\n- z [CTX 4]\nBukti: -", "Pertanyaan: q\nJawaban: b\nBukti:\n-"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", A.repaired("t", R).alias("once"))
+    c = A.enforce_format(A.normalize_citations(A.strip_preamble("t")), R)
+    df = df.withColumn("s", c)
+    for rule in (A.enforce_evidence_list, A.dedupe_evidence, A.move_cited_bullets, A.clean_inline_bullets):
+        df = df.withColumn("s", rule("s"))
+    for r in df.collect():
+        assert r.once == r.s, r.t
+
+
+def test_checks_of_finished_text(spark):
+    def checks(text):
+        return value(spark, text, lambda c: A.sanity_check(c, labels=("RAD", "Prototyping"))).asDict()
+
+    good = checks("Jawaban:\nRAD: a\nPrototyping: b\nBukti:\n- x [CTX 1]")
+    assert all(good.values())
+    bad = checks("Jawaban:\nRAD: a [CTX 1]\nrad : b\n1. analisis 2. rancang\nBukti:\n- x")
+    assert not any(bad.values())
+    assert not checks("")["all_pass"]
+
+
 def test_steps(spark):
     text = "DOC: a | b p.1\n1. analisis kebutuhan\n2. perancangan sistem\n3. use case diagram"
     assert value(spark, text, lambda c: steps.extract_steps(c, R)) == ["analisis kebutuhan", "perancangan sistem"]
