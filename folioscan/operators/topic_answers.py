@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscan.functions.text import matches, split_lines, strip, text_or_empty
@@ -149,7 +151,7 @@ def single_topic_steps(status: DataFrame, resolution: DataFrame, rules: RuleSet)
         .otherwise(none_i)
     )
     label = topic_label(F.col("topic"), rules)
-    doc = F.coalesce(F.col("target_doc").cast("string"), F.lit("dokumen target"))
+    doc = F.coalesce(F.col("target_doc").cast("string"), F.lit(rules.templates["single_topic_steps"]["no_doc"]))
     numbered = F.array_join(
         F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n"
     )
@@ -158,21 +160,17 @@ def single_topic_steps(status: DataFrame, resolution: DataFrame, rules: RuleSet)
         F.transform("contexts", lambda n: F.concat(F.lit("- "), label, F.lit(" [CTX "), n.cast("string"), F.lit("]"))),
         "\n",
     )
-    text = (
-        F.when(F.col("outcome") == "ambiguous_owner_docs",
-               F.concat(F.lit("Jawaban: Ada lebih dari satu dokumen kandidat yang menggunakan metode "), label,
-                        F.lit(", sehingga langkah-langkah lengkapnya belum bisa dipastikan untuk satu skripsi target.\nBukti:\n- Kandidat dokumen owner yang terdeteksi: "), docs))
-        .when(F.col("outcome") == "unresolved_owner_doc",
-              F.concat(F.lit("Jawaban: Dokumen skripsi target untuk metode "), label,
-                       F.lit(" belum bisa dipastikan secara tunggal, sehingga langkah-langkah lengkapnya belum dapat dijabarkan dengan aman.\nBukti: -")))
-        .when(F.col("outcome") == "steps_found",
-              F.concat(F.lit("Jawaban: Pada dokumen "), doc, F.lit(", langkah-langkah "), label,
-                       F.lit(" yang tampil eksplisit adalah:\n"), numbered, F.lit("\nBukti:\n"), cites))
-        .when(F.col("outcome") == "partial",
-              F.concat(F.lit("Jawaban: Pada dokumen "), doc, F.lit(", metode "), label,
-                       F.lit(" memang terkonfirmasi digunakan, tetapi langkah-langkah lengkapnya tidak tampil secara eksplisit pada potongan konteks yang tersedia.\nBukti:\n"), cites))
-        .otherwise(F.lit(rules.templates["not_found_answer"]))
-    )
+    says = rules.templates["single_topic_steps"]
+
+    def said(name: str, **parts: Column) -> Column:
+        """A sentence of the rule set with its ``{part}`` filled."""
+        pieces = re.split(r"\{(\w+)\}", says[name])
+        return F.concat(*[parts[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+    text = F.lit(rules.templates["not_found_answer"])
+    for name in ("ambiguous_owner_docs", "unresolved_owner_doc", "steps_found", "partial"):
+        made = said(name, label=label, docs=docs, doc=doc, steps=numbered, cites=cites)
+        text = F.when(F.col("outcome") == name, made).otherwise(text)
     return (
         joined.withColumn("outcome", outcome)
         .withColumn("contexts", F.coalesce(refs, none_i))
@@ -264,8 +262,11 @@ def guess_topic(text: Column | str, targets: Column, rules: RuleSet, *, first_ta
     low = F.lower(text_or_empty(text))
     mentioned = named_topics({t.name: matches(low, t.mention) for t in rules.topics})
     guess = F.lit(None).cast("string")
-    for name, patterns in reversed(rules.free_text_topics):
-        guess = F.when(F.array_contains(targets, name) & matches(low, patterns), F.lit(name)).otherwise(guess)
+    for name, *lists in reversed(rules.free_text_topics):
+        hit = F.array_contains(targets, name)
+        for patterns in lists:
+            hit = hit & matches(low, patterns)
+        guess = F.when(hit, F.lit(name)).otherwise(guess)
     last = F.get(targets, 0) if first_target else F.lit(None).cast("string")
     return F.coalesce(F.get(F.array_intersect(targets, mentioned), 0), guess, last)
 

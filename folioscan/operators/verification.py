@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscan.functions.text import count_hits, let, matches, strip, text_or_empty
@@ -244,7 +246,7 @@ def with_verification(
         (~off).alias("applied"),
         lab.alias("label"),
         badge.alias("badge_text"),
-        _explanation(lab, g, careful, reason).alias("explanation"),
+        _explanation(lab, g, careful, reason, rules.templates["verification"]).alias("explanation"),
         F.when(~lab.isin("skipped", "not_found"), F.col("_score")).alias("score"),
         reason.alias("skipped_reason"),
         F.struct(
@@ -269,27 +271,30 @@ def with_verification(
     return rows.select(*df.columns, verification.alias(name))
 
 
-def _explanation(label: Column, g: Column, careful: Column, reason: Column) -> Column:
+def _explanation(
+    label: Column, g: Column, careful: Column, reason: Column, says: Mapping[str, str]
+) -> Column:
+    """The sentence of the rule set that says why the label was given."""
     partial = (
-        F.when(careful, "Dukungan konteks ada, tetapi coverage jawaban masih parsial atau asimetris.")
-        .when(~g["answer_grounded"], "Bukti tersedia, tetapi grounding bagian Jawaban masih parsial.")
-        .otherwise("Jawaban memiliki dukungan konteks, tetapi belum cukup kuat untuk label verified.")
+        F.when(careful, says["partial_caution"])
+        .when(~g["answer_grounded"], says["partial_ungrounded"])
+        .otherwise(says["partial_weak"])
     )
     low = (
         F.when(~g["format_ok"] | ~g["evidence_ok"],
-               "Format jawaban atau bagian Bukti belum cukup valid untuk verification yang kuat.")
-        .when(F.col("_total") == 0, "Bagian Bukti tidak memuat bullet yang cukup untuk diverifikasi.")
-        .when(~g["citations_present"], "Jawaban belum menyertakan sitasi CTX yang memadai.")
-        .when(~g["citations_in_range"], "Sebagian sitasi CTX berada di luar rentang konteks yang valid.")
-        .when(F.col("_gr") <= 0, "Bukti tidak terdukung kuat oleh CTX final yang dirujuk.")
-        .otherwise("Grounding jawaban terhadap CTX final masih lemah.")
+               says["low_format"])
+        .when(F.col("_total") == 0, says["low_no_evidence"])
+        .when(~g["citations_present"], says["low_uncited"])
+        .when(~g["citations_in_range"], says["low_out_of_range"])
+        .when(F.col("_gr") <= 0, says["low_ungrounded"])
+        .otherwise(says["low_weak"])
     )
     return (
-        F.when(reason == "disabled_in_config", "Verification dinonaktifkan pada config aktif.")
-        .when(reason.isNotNull(), "Verification tidak diterapkan pada jalur metadata routing.")
+        F.when(reason == "disabled_in_config", says["skipped_config"])
+        .when(reason.isNotNull(), says["skipped_metadata"])
         .when(label == "not_found",
-              "Jawaban berada pada jalur canonical not_found; verification tidak diberi label positif atau negatif.")
-        .when(label == "verified", "Bukti tersitasi valid dan klaim utama terdukung oleh CTX final.")
+              says["not_found"])
+        .when(label == "verified", says["verified"])
         .when(label == "partial", partial)
         .otherwise(low)
     )

@@ -39,7 +39,8 @@ class RuleSet:
     pattern_lists: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     word_lists: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     templates: Mapping[str, object] = field(default_factory=dict)
-    free_text_topics: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    #: topic and its lists of patterns; a text needs one of every list
+    free_text_topics: tuple[tuple[str | tuple[str, ...], ...], ...] = ()
     file_rules: tuple[FileRule, ...] = ()
     numerals: Mapping[str, str] = field(default_factory=dict)
     label_streams: Mapping[str, str] = field(default_factory=dict)
