@@ -11,8 +11,8 @@ those meet on the next level.
 Random numbers are hashes of the documents that meet, so reruns agree.
 
 Defined results: null text has size 0; documents of size 0 take 0; null sources
-are one source, last in order; equal rows are rounded one by one; the residual of
-a source goes to the nearer side; an empty table gives no rows; further columns
+are one source, last in order; equal rows are counted first, numbered, and rounded
+one by one; the residual of a source goes to the nearer side; an empty table gives no rows; further columns
 are not looked at.
 """
 
@@ -24,8 +24,9 @@ from folioscan.llm import common
 
 FAN = 64
 SALTS = 32
-ROW = "struct<size:bigint,h:bigint,doc_id:bigint,base:bigint,source_size:bigint,target:double,mass:double>"
-KEPT = ("size", "h", "doc_id", "base", "source_size", "target")
+BLOCK = 4096  # repeats that one task makes of a row
+ROW = "struct<size:bigint,h:bigint,row_h:bigint,doc_id:bigint,base:bigint,source_size:bigint,target:double,mass:double>"
+KEPT = ("size", "h", "row_h", "doc_id", "base", "source_size", "target")
 
 
 def word_count(text: str = "text") -> Column:
@@ -33,6 +34,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("~"))
 
@@ -99,20 +104,36 @@ def _fold(level: int) -> str:
     )
 
 
+def _repeated(rows: DataFrame, count: str, key: str) -> DataFrame:
+    """Every row ``count`` times with its number ``i`` from 0.
+
+    A row of very many repeats is dealt over the tasks in blocks of ``BLOCK``.
+    """
+    last = F.floor((F.col(count) - 1) / BLOCK)
+    blocks = rows.where(F.col(count) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    begin = F.col("_block") * BLOCK
+    numbers = F.sequence(begin, F.least(begin + BLOCK, F.col(count)) - 1)
+    return blocks.repartition(key, "_block").withColumn("i", F.explode(numbers)).drop("_block")
+
+
 def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """Copies of every row of ``docs(doc_id, text, source)``: doc_id, h, size, source_size, target, copies.
+    """Copies of every row of ``docs(doc_id, text, source)``: doc_id, h, row_h, size, source_size, target, copies.
 
-    ``h`` is the hash of id, source and text of the row.
+    ``row_h`` is the hash of id, source and text of the row; ``h`` differs between
+    equal rows as well, so that they meet in different buckets.
     """
-    rows = common.stored(
+    counted = (
         docs.select(
             source_key().alias("key"),
             F.col("doc_id").cast("long").alias("doc_id"),
             word_count().alias("size"),
-            F.xxhash64("doc_id", "source", "text").alias("h"),
-        ),
-        "mix-sizes",
+            row_hash().alias("row_h"),
+        )
+        .groupBy("key", "doc_id", "size", "row_h")
+        .agg(F.count("*").alias("m"))
     )
+    number = F.when(F.col("i") == 0, F.col("row_h")).otherwise(F.xxhash64("row_h", "i"))
+    rows = common.stored(_repeated(counted, "m", "row_h").withColumn("h", number).drop("m", "i"), "mix-sizes")
     sources = common.stored(
         targets(rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), share, cap, weights),
         "mix-sources",
@@ -147,7 +168,7 @@ def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("doc_id", "h", "size", "source_size", "target", (F.col("base") + F.col("v")).alias("copies"))
+    return out.select("doc_id", "h", "row_h", "size", "source_size", "target", (F.col("base") + F.col("v")).alias("copies"))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -160,21 +181,25 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; all columns stay.
 
-    Equal rows share their copies evenly, as nothing tells them apart.
+    Rows equal in id, source and text share their copies evenly, in the order of
+    the hash of all their columns.  Wholly equal rows are counted before they are
+    repeated, so no window or task holds all of them.
     """
-    taken = copies(docs, **settings).groupBy("h").agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_rows")
-    )
-    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "source", "text").alias("h"))
-    same = Window.partitionBy("h").orderBy(F.lit(0))
-    return (
-        keyed.join(taken.where("_copies > 0"), "h")
-        .withColumn("_n", F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(same)))
-        .withColumn(
-            "_n",
-            F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_n") <= F.col("_copies") % F.col("_rows")).cast("long"),
-        )
-        .where("_n > 0")
-        .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-        .select("_row.*")
+    taken = common.stored(
+        copies(docs, **settings).groupBy(F.col("row_h").alias("h")).agg(
+            F.sum("copies").alias("_copies"), F.count("*").alias("_rows")
+        ),
+        "mix-taken",
+    ).where("_copies > 0")
+    keyed = docs.select(F.struct("*").alias("_row"), row_hash().alias("h")).join(taken, "h")
+    single = keyed.where("_rows = 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    alike = (
+        keyed.where("_rows > 1")
+        .groupBy("h", "_copies", "_rows", F.xxhash64("_row").alias("_whole"))
+        .agg(F.first("_row").alias("_row"), F.count("*").alias("_n"))
     )
+    before = F.sum("_n").over(Window.partitionBy("h").orderBy("_whole")) - F.col("_n")
+    further = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_copies") % F.col("_rows") - before))
+    times = F.col("_n") * F.floor(F.col("_copies") / F.col("_rows")) + further
+    shared = _repeated(alike.withColumn("_times", times), "_times", "_whole")
+    return single.select("_row.*").unionAll(shared.select("_row.*"))

@@ -80,3 +80,28 @@ def test_mixed_documents_repeat_rows(docs, clashing):
     assert out.columns == docs.columns
     assert Counter(r["doc_id"] for r in out.collect()) == +want
     assert mixing.mixed_documents(clashing).columns == clashing.columns
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """A third of the table repeats one row; it spreads over buckets and tasks."""
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    rows = [(7, "a b c", "en", "s", 5)] * 400 + [(100 + i, "w " * (1 + i % 9), "en", "s", 1) for i in range(800)]
+    rows += [(7, "a b c", "en", "s", 6)] * 3 + [(None, None, None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.copies(df, share=0.6).collect()
+    assert len(got) == len(rows) and len({r["h"] for r in got if r["doc_id"] == 7}) == 403
+    sizes, want = brute_targets(rows, share=0.6)
+    taken = sum(r["size"] * r["copies"] for r in got if r["source_size"] == sizes["s"])
+    assert abs(taken - want["s"]) <= 9
+    seven = sum(r["copies"] for r in got if r["doc_id"] == 7)
+    assert 0.4 * 403 < seven < 0.8 * 403
+    out = Counter(tuple(r) for r in mixing.mixed_documents(df, share=0.6).collect())
+    again = Counter(tuple(r) for r in mixing.mixed_documents(df.repartition(5), share=0.6).collect())
+    assert out == again
+    assert sum(n for r, n in out.items() if r[0] == 7) == seven
+    per_row = Counter()
+    for r in got:
+        per_row[r["doc_id"]] += r["copies"]
+    assert Counter({k: sum(n for r, n in out.items() if r[0] == k) for k in per_row if k != 7}) == Counter(
+        {k: n for k, n in per_row.items() if k != 7}
+    )
