@@ -35,8 +35,8 @@ def resolve(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """Pages with payload, digest and ``original``: the page that answers for the digest.
 
     Only (digest, page id) is shuffled to find originals; page ids are reduced
-    before that shuffle.  A digest of very many pages is joined in ``SALTS``
-    parts.
+    before that shuffle.  The join with the originals shuffles the payloads once;
+    a digest of very many pages is joined in ``SALTS`` parts.
     """
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
