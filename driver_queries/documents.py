@@ -7,6 +7,8 @@ from pyspark.sql import Window, functions as F
 from driver_queries.base import query, sql_any, sql_contains_any, sql_list, table
 from driver_queries.themes import QUESTIONS, RULES, choose, sql_choose, topics_in_sql
 from folioscan.operators import catalog, chunking, conversation, metadata_qa, runs, structure
+from folioscan.plans import segments
+from folioscan.session import job_folder
 from folioscan.sources import pages as sources
 
 P, L, WL = RULES.patterns, RULES.pattern_lists, RULES.word_lists
@@ -179,6 +181,57 @@ def document_catalog(spark, sf_dir):
     )
 
 
+# Every line of a document is a page, blank ones too; some documents get faults by their number.
+RAW_SQL = """
+ln AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+raw AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, ls FROM ln),
+pg AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 AND i = 0 THEN NULL WHEN doc_id % 13 = 0 THEN i // 2 ELSE i END AS page,
+   CASE WHEN doc_id % 19 = 0 THEN ' ' ELSE ls[i + 1] END AS text, CASE WHEN doc_id % 11 = 0 AND i = 0 THEN 'bad font' END AS error FROM raw),
+status AS (SELECT doc_id::VARCHAR AS doc_id, 'in/file_' || doc_id || '.pdf' AS relative_path, count(*) AS page_count,
+   CASE WHEN count(error) > 0 THEN 'read_error: ' || min(error) WHEN count(page) < count(*) THEN 'no_page_number'
+        WHEN count(DISTINCT page) < count(*) THEN 'repeated_page' WHEN NOT bool_or(regexp_matches(text, '\\S')) THEN 'no_text' END AS reason
+   FROM pg GROUP BY doc_id)"""
+
+
+def raw_pages(spark, sf_dir):
+    d, n = F.col("doc_id"), F.col("i")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    page = F.when((d % 17 == 0) & (n == 0), None).when(d % 13 == 0, F.floor(n / 2).cast("int")).otherwise(n)
+    name = F.concat(F.lit("file_"), d, F.lit(".pdf"))
+    return rows.select(
+        d.cast("string").alias("doc_id"), name.alias("source_file"), F.concat(F.lit("in/"), name).alias("relative_path"),
+        page.alias("page"), F.when(d % 19 == 0, " ").otherwise(F.col("line")).alias("text"),
+        F.when((d % 11 == 0) & (n == 0), "bad font").alias("error"),
+    )
+
+
+@query("document_faults", f"WITH {RAW_SQL} SELECT * FROM status")
+def document_faults(spark, sf_dir):
+    """What an ingest run would do with every document, and the reason where it cannot use it."""
+    return segments.page_faults(raw_pages(spark, sf_dir)).select("doc_id", "relative_path", "page_count", "reason")
+
+
+@query(
+    "catalog_two_runs",
+    f"""WITH {RAW_SQL} SELECT s.doc_id, s.relative_path, s.page_count, CASE WHEN reason IS NULL AND s.doc_id::BIGINT % 4 = 0 THEN 2 ELSE 1 END AS run
+FROM status s JOIN (SELECT doc_id::VARCHAR AS doc_id, bool_or(regexp_matches(text, '\\S')) AS legible FROM documents GROUP BY ALL) USING (doc_id)
+WHERE reason IS NULL OR (s.doc_id::BIGINT % 4 = 0 AND legible)""",
+)
+def catalog_two_runs(spark, sf_dir):
+    """Sound pages of every fourth document and all others, then those documents as they are: failed ones keep their row."""
+    folder = job_folder(spark, "runs")
+    pages = raw_pages(spark, sf_dir)
+    fourth = F.col("doc_id").cast("long") % 4 == 0
+    sound = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("page", "text")
+    )
+    name = F.concat(F.lit("file_"), "doc_id", F.lit(".pdf"))
+    sound = sound.select("doc_id", name.alias("source_file"), F.concat(F.lit("in/"), name).alias("relative_path"), "page", "text", F.lit(None).cast("string").alias("error"))
+    segments.ingest_run(pages.where(~fourth).unionByName(sound.where(fourth)), folder, run=1)
+    segments.ingest_run(pages.where(fourth), folder, run=2)
+    return segments.current_catalog(spark, folder).select("doc_id", "relative_path", "page_count", "run")
+
+
 TITLE_SQL = f"""
 t0 AS (SELECT doc_id, source, trim(regexp_replace({sql_choose(('', '8. ', 'Puji syukur ', 'a, b, c, d, ', 'Jurusan ', 'Penelitian terdahulu '), 'doc_id')}
    || split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS t FROM documents),

@@ -18,6 +18,7 @@ from driver_queries.base import (
 )
 from folioscan.session import job_folder
 from folioscan.operators import cells, dense, filters, fusion, lexical, rerank, stats
+from folioscan.plans import segments
 from folioscan.settings import Bm25Settings
 
 HIT = ["query_id", "rank", "chunk_id", "score"]
@@ -87,6 +88,25 @@ def bm25_stored(spark, sf_dir):
     return lexical.bm25_topk(stored, benchmark_queries(spark, sf_dir), k=10).select(*HIT)
 
 
+@query(
+    "bm25_two_runs",
+    f"WITH {BM25_CTES}, {BM25_HITS.format(k=10)} SELECT query_id, rank, chunk_id, score FROM bm",
+)
+def bm25_two_runs(spark, sf_dir):
+    """Old texts and copies first, then a run that replaces, adds and removes: as if indexed at once."""
+    folder = job_folder(spark, "segments")
+    i = F.col("chunk_id")
+    docs = doc_chunks(spark, sf_dir).select("chunk_id", i.cast("string").alias("doc_id"), "ord", "stream", "text")
+    old = docs.withColumn("text", F.when(i % 3 == 0, F.concat(F.lit("lama "), F.reverse("text"))).otherwise(F.col("text")))
+    copies = docs.where(i % 7 == 0).select(
+        (-i - 1).alias("chunk_id"), F.concat(F.lit("copy-"), "doc_id").alias("doc_id"), (-i - 1).alias("ord"), "stream", "text"
+    )
+    segments.add_chunks(old.where(i % 5 != 0).unionByName(copies), folder, run=1)
+    segments.add_chunks(docs.where((i % 5 == 0) | (i % 3 == 0)), folder, run=2, removed=copies.select("doc_id"))
+    index = segments.open_segments(spark, folder)
+    return lexical.bm25_topk(index, benchmark_queries(spark, sf_dir), k=10).select(*HIT)
+
+
 @query(
     "bm25_plus1_by_stream",
     f"""
