@@ -100,43 +100,53 @@ def alias_score(query: Column | str, alias: Column | str, rules: RuleSet) -> Col
     )
 
 
-def _grams(df: DataFrame, text: str) -> DataFrame:
+def _pieces(text: str) -> Column:
     starts = F.sequence(F.lit(1), F.length(text) - GRAM + 1)
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(GRAM))))
-    return df.where(F.length(text) >= GRAM).select("*", F.explode(pieces).alias("gram"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(GRAM))))
+
+
+def _grams(df: DataFrame, text: str) -> DataFrame:
+    return df.where(F.length(text) >= GRAM).select("*", F.explode(_pieces(text)).alias("gram"))
 
 
-def _contained(inner: DataFrame, outer: DataFrame, i: str, o: str) -> DataFrame:
-    """Pairs where ``i`` occurs inside ``o``, exactly, without a nested loop.
+def _contained(inner: DataFrame, outer: DataFrame, i: str, o: str, few: bool) -> DataFrame:
+    """Pairs where ``i`` occurs inside ``o``, exactly, without a nested loop; further columns stay.
 
     A text that contains another contains each of its 5-grams; the rarest one
     of the inner text is the join key, so a gram in a third of the names is
-    used only by texts made of nothing rarer.
+    used only by texts made of nothing rarer.  Grams that one side lacks are dropped
+    first, and an inner text that loses one is nowhere.  ``few``: the texts of one side
+    are few by count, and their grams are sent to the other's; else both are shuffled,
+    as the size of exploded grams is not known to the planner.
     """
-    outer_grams = _grams(outer, o)
-    freq = outer_grams.groupBy("gram").agg(F.count("*").alias("n"))
+    small = F.broadcast if few else lambda df: df.hint("merge")
+    inner_grams, outer_grams = _grams(inner, i), _grams(outer, o)
+    wanted = outer_grams.join(small(inner_grams.select("gram").distinct()), "gram", "left_semi")
+    freq = wanted.groupBy("gram").agg(F.count("*").alias("n"))
     keyed = (
-        _grams(inner, i)
-        .join(freq, "gram")
-        .groupBy(i)
-        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        inner_grams.join(small(freq), "gram")
+        .groupBy(*inner.columns)
+        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("found"))
+        .where(F.col("found") == F.size(_pieces(i)))
+        .drop("found")
     )
-    return keyed.join(outer_grams, "gram").where(F.contains(F.col(o), F.col(i))).select(i, o)
+    return keyed.hint("merge").join(wanted, "gram").where(F.contains(F.col(o), F.col(i))).drop("gram")
 
 
-def resolve_refs(refs: DataFrame, catalog: DataFrame, rules: RuleSet) -> DataFrame:
+def resolve_refs(refs: DataFrame, catalog: DataFrame, rules: RuleSet, *, few_grams: int = 100_000) -> DataFrame:
     """``refs(ref)`` to ``ref, doc_id, how``: exact id, exact file stem, alias.
 
     An alias counts with 80 points and more, that is when the loose forms are
     equal or one of at least 5 characters lies in the other; the best score
     wins, then catalog order.  Distinct references meet distinct aliases.
+    Up to ``few_grams`` different 5-grams of references are broadcast, more are shuffled.
     """
     names = aliases(catalog).withColumn("a", loose("alias")).where(F.col("a") != "")
     docs = catalog.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         (F.col("ord") if "ord" in catalog.columns else F.col("doc_id")).alias("ord"),
         F.lower(strip_suffix(text_or_empty("source_file"), ".pdf")).alias("stem"),
-    )
+    ).hint("merge")
     asked = refs.select("ref").distinct().withColumn("key", doc_key("ref")).withColumn("q", loose("ref"))
     by_id = asked.join(docs, F.col("key") == F.col("doc_id")).select(
         "ref", "doc_id", "ord", F.lit(1).alias("prio"), F.lit(0).alias("minus")
@@ -147,22 +157,21 @@ def resolve_refs(refs: DataFrame, catalog: DataFrame, rules: RuleSet) -> DataFra
     q = asked.where(F.col("q") != "").select("q").distinct()
     a = names.groupBy("a").agg(
         F.min(F.struct("ord", F.col("doc_id").cast("string").alias("doc_id"))).alias("d")
-    )
-    a_only = a.select("a")
-    equal = q.join(a_only, F.col("q") == F.col("a")).select("q", "a", F.lit(-100).alias("minus"))
+    ).persist()
+    few = _grams(q, "q").select("gram").distinct().limit(few_grams + 1).count() <= few_grams
+    equal = q.join(a.hint("merge"), F.col("q") == F.col("a")).select("q", "d", F.lit(-100).alias("minus"))
     inside = (
-        _contained(q, a_only, "q", "a")
-        .unionByName(_contained(a_only, q, "a", "q").select("q", "a"))
+        _contained(q, a, "q", "a", few)
+        .unionByName(_contained(a, q, "a", "q", few))
         .where(F.col("q") != F.col("a"))
-        .select("q", "a", F.lit(-85).alias("minus"))
+        .select("q", "d", F.lit(-85).alias("minus"))
     )
     best = (
         equal.unionByName(inside)
-        .join(a, "a")
         .groupBy("q")
         .agg(F.min(F.struct("minus", "d.ord", "d.doc_id")).alias("b"))
     )
-    by_alias = asked.join(best, "q").select(
+    by_alias = asked.join(best.hint("merge"), "q").select(
         "ref", "b.doc_id", "b.ord", F.lit(3).alias("prio"), F.col("b.minus").alias("minus")
     )
     every = by_id.unionByName(by_stem).unionByName(by_alias)

@@ -156,6 +156,15 @@ def test_alias_resolution_matches_brute_force(spark):
     assert got["D03"] == "D03"
 
 
+def test_exploded_grams_are_not_broadcast(spark):
+    """Equal answers whether the grams of the references are few or many; names stay in their tasks."""
+    df = spark.createDataFrame([(f"d{i}", i, f"Brand_{i % 3}_{i}.pdf", f"red bolt {i % 4}") for i in range(40)], "doc_id string, ord long, source_file string, title string")
+    refs = spark.createDataFrame([("brand 1",), ("x red bolt 2",), ("d7",), ("tidak ada",)], "ref string")
+    few, many = (metadata_qa.resolve_refs(refs, df, R, few_grams=n) for n in (100_000, 0))
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 3
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_unknown_quoted_name(spark):
     cat = spark.createDataFrame([("d", 0, "d.pdf", "judul", 5)], "doc_id string, ord int, source_file string, title string, page_count int")
     q = spark.createDataFrame([(1, 'Berapa halaman "entah apa"?')], "query_id int, text string")
