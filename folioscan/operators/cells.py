@@ -168,7 +168,8 @@ def search_cells(
         limit = F.max(F.when(F.col("_n") <= k, F.col("high"))).over(W.partitionBy("query_id"))
         ranked = ranked.withColumn("_limit", limit).where(F.col("low") <= F.col("_limit") + SLACK)
     whole = index.vectors.where(F.col("cell").isin(wanted)).select("cell", "chunk_id", "ord", "embedding", *keep)
-    candidates = ranked.select("query_id", "cell", "chunk_id", "ord").join(whole, ["cell", "chunk_id", "ord"]).join(asked, "query_id")
+    # the planner takes candidates for no larger than the codes and would send them all through the driver
+    candidates = ranked.select("query_id", "cell", "chunk_id", "ord").hint("merge").join(whole, ["cell", "chunk_id", "ord"]).join(asked, "query_id")
     parts = F.zip_with("embedding", "_q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     exact = F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6)
     return dense._ranked(candidates.select("query_id", "chunk_id", "ord", *keep, exact.alias("score")), k)

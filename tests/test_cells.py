@@ -33,6 +33,12 @@ def hits(df):
     return {(r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect()}
 
 
+def test_candidates_are_not_broadcast(data, index):
+    """Their number is not known to the planner, which takes them for no more than the codes."""
+    plan = cells.search_cells(index, data[1], k=10, n_probe=12, refine=None)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [cell" in plan
+
+
 def test_bounds_give_the_exact_result(data, index):
     vectors, asked = data
     vectors, asked = vectors.where("embedding IS NOT NULL"), asked.where("embedding IS NOT NULL")
