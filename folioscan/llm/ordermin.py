@@ -17,15 +17,17 @@ once.  Links make components.  Members in the leader's component leave the bucke
 what is left of at most ``LEADERS`` + 1 members is compared with up to ``LEADERS`` new
 leaders.  Pairs of a larger bucket (texts that share a passage) that share a small one
 too meet there; for the others, its members meet again in a bucket for every two of
-their larger buckets, twice.  From the fourth round on the leaders grow instead,
-fourfold each time, until nothing is left.  Work grows with members times clusters.
+their larger buckets, twice.  Then the leaders grow instead, fourfold each time, until
+nothing is left.  What the larger buckets held is gone through once more at the end, in a
+bucket for every larger bucket and every one of a text's rarest words, of which near texts
+share at least one: this finds the pairs that share no two of those buckets.  Work grows
+with members times clusters.
 
 A member near the leader stays as long as it may be near one that is left: the
 number of words to insert and delete is a distance, so only those whose own distance
 from the leader is within reach of the nearest one left.  Links within a bucket are
-therefore found up to links within a component, with two exceptions that are measured:
-pairs without a common sketch, and pairs whose common sketches stand in a single large
-bucket (or, for texts in many large buckets, in buckets far apart in hash order).
+therefore found up to links within a component; only pairs without a common sketch are
+missed, which is measured.
 
 Defined results: texts without words are near only to equal texts; texts of fewer
 than five words are one run; rows of equal doc_id are told apart by their text;
@@ -58,19 +60,23 @@ _FACTOR = (_rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1))[
 # -- sketches and alignment ----------------------------------------------------
 
 
-def labelled(words: np.ndarray) -> np.ndarray:
-    """Runs of words, told apart by occurrence number."""
-    h = common.shingles(words, SHINGLE)
+def _occurrences(h: np.ndarray) -> np.ndarray:
+    """For each hash, how many equal ones stand before it."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     same = np.zeros(len(h), bool)
     same[1:] = s[1:] == s[:-1]
-    if not same.any():
-        return h
     at = np.arange(len(h))
     number = np.empty(len(h), np.uint64)
     number[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
-    return common.mix64(h + number * common.BASE)
+    return number
+
+
+def labelled(words: np.ndarray) -> np.ndarray:
+    """Runs of words, told apart by occurrence number."""
+    h = common.shingles(words, SHINGLE)
+    number = _occurrences(h)
+    return common.mix64(h + number * common.BASE) if number.any() else h
 
 
 def _two_smallest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +358,7 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: common.Scratch, threshold:
     spark = docs.sparkSession
     members = nodes.select("key", "n", F.posexplode("bands").alias("j", "v")).select(F.xxhash64("j", "v").alias("bucket"), "key", "n")
     parts = common.parts_of(spark, SKETCHES * nodes.count(), 500_000)
-    comps, results, words, leaders, rounds, each = None, None, None, None, 0, 1
+    comps, results, words, leaders, rest, rounds, each = None, None, None, None, None, 0, 1
     while True:
         if rounds == 0:
             at = _first_led(members, scratch, parts)
@@ -376,13 +382,20 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: common.Scratch, threshold:
         results = found if results is None else results.unionByName(found)
         comps = _joined(comps, found.where("near").select(F.col("lo").alias("a"), F.col("hi").alias("b")), parts, scratch)
         members = scratch.stored(_left(at, leaders, results, comps, scratch, parts), "left", parts)
-        if members.isEmpty():
-            return comps
+        if rounds == 0:
+            if members.isEmpty():
+                return comps
+            rest = scratch.stored(members.join(_large(members), "bucket", "left_semi"), "rest", parts)
         rounds, each = rounds + 1, LEADERS * 4 ** max(0, rounds - 2)
-        if rounds <= 2:
+        if rounds <= 2 and not members.isEmpty():
             members = scratch.stored(_dealt(members), "dealt", parts)
+        if members.isEmpty():
+            if rest is None:
+                return comps
+            members = scratch.stored(_by_rare_words(rest, comps, words, threshold), "rare", parts)
             if members.isEmpty():
                 return comps
+            rest, rounds, each = None, 3, LEADERS
 
 
 def _left(
@@ -408,9 +421,12 @@ def _left(
     # no text near b is farther from b than half of b's words
     reach = state.where("NOT same").groupBy("bucket", "lead").agg(F.min(F.col("d") - F.col("n") / 2).alias("reach"))
     settled = F.col("same") & (F.col("reach").isNull() | (F.coalesce("near", F.lit(False)) & (F.col("d") < F.col("reach"))))
+    met = state.join(reach, ["bucket", "lead"], "left")
+    if leaders is None:  # members of a dealt bucket have met the leader of their salt only
+        several = state.groupBy("bucket").agg((F.min("lead") != F.max("lead")).alias("several"))
+        met, settled = met.join(several, "bucket"), settled & ~F.col("several")
     left = (
-        state.join(reach, ["bucket", "lead"], "left")
-        .withColumn("settled", settled)
+        met.withColumn("settled", settled)
         .groupBy("bucket", "key")
         .agg(F.any_value("n").alias("n"), F.any_value("comp").alias("comp"), F.bool_or("same").alias("same"), F.bool_or("settled").alias("settled"))
         .where("NOT settled")
@@ -427,6 +443,56 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(several.select("bucket"), "bucket", "left_semi")
 
 
+def _large(members: DataFrame) -> DataFrame:
+    """Buckets of more members than leaders settle at once."""
+    return members.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > LEADERS + 1).select("bucket")
+
+
+def _prefixes(words: DataFrame, threshold: float) -> DataFrame:
+    """(key, token): the rarest words of every text, so many that near texts share one.
+
+    Of two near texts' n words (repeats told apart), at least ``threshold`` * n are common,
+    so that the first n - ceil(threshold * n) + 1 in any fixed order cannot all differ.
+    The order goes by counts in 65,536 bins, which is what the driver holds.
+    """
+    bins = 1 << 16
+
+    def tokens(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
+        found = (np.frombuffer(raw, "<u4").astype(np.uint64) for raw in batch.column(column).to_pylist())
+        return [common.mix64(w + _occurrences(w) * common.BASE) for w in found]
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(bins, np.int64)
+        for batch in rows:
+            for t in tokens(batch, 0):
+                n += np.bincount((t % bins).astype(np.int64), minlength=bins)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bin", "n"])
+
+    counts = np.zeros(bins, np.int64)
+    for r in words.select("words").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]
+
+    def rarest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            own = []
+            for t in tokens(batch, 1):
+                order = np.lexsort((t, counts[(t % bins).astype(np.int64)]))
+                own.append(t[order[: len(t) - int(np.ceil(threshold * len(t) - 1e-9)) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["key", "tokens"])
+
+    return words.select("key", "words").mapInArrow(rarest, "key long, tokens array<long>")
+
+
+def _by_rare_words(rest: DataFrame, comps: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Members of larger buckets in a bucket for each of their rarest words, if components still meet there."""
+    at = rest.select("bucket", "key", "n").join(comps, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "same": F.lit(False)})
+    at = _open(at)
+    own = _prefixes(words.join(at.select("key").distinct(), "key", "left_semi"), threshold)
+    met = at.join(own, "key").withColumn("token", F.explode("tokens")).withColumn("bucket", F.xxhash64("bucket", "token"))
+    return _open(met.select(rest.columns))
+
+
 def _dealt(members: DataFrame) -> DataFrame:
     """Small buckets as they are; members of larger ones in a bucket for every two of their larger buckets.
 
@@ -434,8 +500,7 @@ def _dealt(members: DataFrame) -> DataFrame:
     ``ALL_PAIRS`` larger buckets takes each with the next ones in hash order, which
     are the same for members that share them.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
-    large = sizes.where(F.col("m") > LEADERS + 1).select("bucket")
+    large = _large(members)
     small = members.join(large, "bucket", "left_anti")
     values = [c for c in members.columns if c not in ("bucket", "key", "same")]
     own = (

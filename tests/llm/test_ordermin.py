@@ -137,6 +137,40 @@ def test_a_bucket_whose_members_differ_is_searched_whole(spark, monkeypatch):
     assert len(set(of.values())) == 9 and all(of[10 * g] == of[10 * g + 1] == of[10 * g + 2] for g in range(9))
 
 
+def test_pairs_of_a_single_large_bucket_are_found(spark):
+    """All texts share one sketch and no other; links exist only between members that are not the leader."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(9):
+        base = sentence(rng, 80).split()
+        for c in range(3):
+            w = list(base)
+            w[c * 7] = f"v{c}"
+            rows.append((10 * g + c, " ".join(w), "en", "a", 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    nodes = om.sketches(df).toPandas()
+    table = spark.createDataFrame(
+        [(500 + int(i), (int(i), int(h)), int(n), [7] + [1000 * int(i) + j for j in range(1, om.SKETCHES)]) for i, h, n in zip(nodes.doc_id, nodes.h, nodes.n)],
+        "key long, rep struct<doc_id: long, h: long>, n long, bands array<long>",
+    )
+    comps = {r["key"]: r["comp"] for r in om.links(df, table, common.Scratch(spark, "test")).collect()}
+    assert all(comps[500 + 10 * g] == comps[501 + 10 * g] == comps[502 + 10 * g] for g in range(9))
+    assert len(set(comps.values())) == 9
+
+
+def test_near_texts_share_a_rare_word(spark):
+    rng = random.Random(7)
+    texts = {}
+    for g in range(20):
+        base = sentence(rng, rng.randint(1, 60)).split()
+        texts[2 * g], texts[2 * g + 1] = base, edited(rng, base, max(1, len(base) // 8))
+    own = {k: (words(" ".join(t)) >> np.uint64(32)).astype("<u4") for k, t in texts.items()}
+    table = spark.createDataFrame([(k, bytearray(w.tobytes())) for k, w in own.items()], "key long, words binary")
+    found = {r["key"]: set(r["tokens"]) for r in om._prefixes(table, 0.8).collect()}
+    near_ones = [(a, b) for a in own for b in own if a < b and om.compare(own[a], own[b])[0]]
+    assert near_ones and all(found[a] & found[b] for a, b in near_ones)
+
+
 def test_recall_of_single_sketches():
     """Pairs at 0.8 and more that share a bucket, against every pair that is near."""
     rng = random.Random(6)
