@@ -142,11 +142,14 @@ def themed_hits(spark: SparkSession, sf_dir: str, k: int = HITS_K) -> DataFrame:
     hits = dense.dense_topk(
         vectors(spark, sf_dir).join(known, "chunk_id", "left_semi"), vector_queries(spark, sf_dir).select("query_id", "embedding"), k=k
     )
+    # k rows a question, read more than once; kept, so that no filter on a hit's text moves below
+    # the join and runs its patterns on every document
     return (
         hits.select("query_id", "rank", "chunk_id", "ord", "score")
         .join(themed_chunks(spark, sf_dir), "chunk_id")
         .withColumn("targets", target_array(F.col("query_id")))
         .withColumn("source_file", F.concat("doc_id", F.lit(".pdf")))
+        .persist()
     )
 
 
