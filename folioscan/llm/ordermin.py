@@ -13,15 +13,13 @@ wide as the threshold allows, so that the band loses nothing.
 Equal word sequences are one node from the start.  All members of a bucket are
 compared with one leader, the first in an order of hashes that is the same in every
 bucket, so that a cluster has the same leader almost everywhere and a pair is aligned
-once.  Links make components.  Members in the leader's component leave the bucket, and
-what is left of at most ``LEADERS`` + 1 members is compared with up to ``LEADERS`` new
-leaders.  Pairs of a larger bucket (texts that share a passage) that share a small one
-too meet there; for the others, its members meet again in a bucket for every two of
-their larger buckets, twice.  Then the leaders grow instead, fourfold each time, until
-nothing is left.  What the larger buckets held is gone through once more at the end, in a
-bucket for every larger bucket and every one of a text's rarest words, of which near texts
-share at least one: this finds the pairs that share no two of those buckets.  Work grows
-with members times clusters.
+once.  Links make components.  Members in the leader's component leave the bucket.
+What is left of at most ``LEADERS`` + 1 members meets as it is.  Members of a larger
+bucket (texts that share a passage) meet in a bucket for each of their rarest words
+instead, of which near texts share at least one, so that texts with nothing but the
+passage in common do not meet again, however many they are.  In these buckets the members
+outside the largest component lead, up to ``LEADERS`` at once and then fourfold each
+time, until every one has met all others; texts of one component need not meet.
 
 A member near the leader stays as long as it may be near one that is left: the
 number of words to insert and delete is a distance, so only those whose own distance
@@ -49,7 +47,6 @@ from folioscan.llm import common
 SHINGLE = 5
 SKETCHES = 32
 LEADERS = 8
-ALL_PAIRS = 6
 SALTS = 8
 
 _rng = np.random.default_rng(20)
@@ -332,17 +329,24 @@ def _first_led(members: DataFrame, scratch: common.Scratch, parts: int) -> DataF
     both = lambda c: F.when(F.col("key") == F.first("key").over(up), F.first(c).over(down)).otherwise(F.first(c).over(up))
     first = led.where("key = lead").withColumns({"lead": both("key"), "ln": both("n")})
     return led.select(*at).unionByName(first.select(*at)).where("key <> lead").withColumns(
-        {"comp": F.col("key"), "lcomp": F.col("lead"), "same": F.lit(False)}
+        {"comp": F.col("key"), "lcomp": F.col("lead")}
     )
 
 
-def _led(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Members with the leaders of their buckets; hot buckets are dealt by salt."""
-    salted = _salted(members, SALTS)
+def _led(ranked: DataFrame, threshold: float) -> DataFrame:
+    """Members with the leaders of their buckets that rank before them; hot buckets are dealt by salt.
+
+    Lengths may differ by the threshold twice: a text that is near one near the leader is among the led.
+    """
+    salted = _salted(ranked.drop("leads"), SALTS)
     hot = F.broadcast(salted.where("hot").select("bucket", "hot").distinct())
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    each = leaders.join(hot, "bucket", "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return salted.drop("hot").join(each, ["bucket", "salt"]).drop("salt").where("key <> lead")
+    each = ranked.where("leads").join(hot, "bucket", "left").select(
+        "bucket", F.explode(salts).alias("salt"), F.col("key").alias("lead"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"), F.col("rank").alias("first")
+    )
+    m, e = salted.alias("m"), each.alias("e")
+    met = m.join(e, F.expr("m.bucket = e.bucket AND m.salt = e.salt AND e.first < m.rank") & (F.least("n", "ln") >= threshold**2 * F.greatest("n", "ln") - 1e-9))
+    return met.select("m.bucket", "key", "n", "comp", "lead", "ln", "lcomp")
 
 
 def _ends() -> dict:
@@ -358,16 +362,14 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: common.Scratch, threshold:
     spark = docs.sparkSession
     members = nodes.select("key", "n", F.posexplode("bands").alias("j", "v")).select(F.xxhash64("j", "v").alias("bucket"), "key", "n")
     parts = common.parts_of(spark, SKETCHES * nodes.count(), 500_000)
-    comps, results, words, leaders, rest, rounds, each = None, None, None, None, None, 0, 1
+    comps, results, words, ranked, each = None, None, None, None, LEADERS
     while True:
-        if rounds == 0:
+        if results is None:
             at = _first_led(members, scratch, parts)
         else:
-            order = Window.partitionBy("bucket").orderBy("same", F.xxhash64("key"), "key")
-            leaders = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
-            leaders = leaders.select("bucket", F.col("key").alias("lead"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"))
-            leaders = scratch.stored(leaders, "leaders", parts)
-            at = scratch.stored(_led(members, leaders), "led", parts)
+            ranked = scratch.stored(_ranked(members, each), "ranked", parts)
+            at = scratch.stored(_led(ranked, threshold), "led", parts)
+            each *= 4
         if words is None:
             wanted = at.select("key").unionByName(at.select(F.col("lead").alias("key"))).distinct()
             words = scratch.stored(_words_of(docs, nodes.join(wanted, "key", "left_semi").select("key", "rep.*")), "words")
@@ -379,27 +381,27 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: common.Scratch, threshold:
         pairs = scratch.stored(pairs, "pairs", parts)
         found = _compared(pairs, words, threshold).withColumns(_ends()).select("lo", "hi", "near", "d")
         found = scratch.stored(found, "compared", parts)
-        results = found if results is None else results.unionByName(found)
         comps = _joined(comps, found.where("near").select(F.col("lo").alias("a"), F.col("hi").alias("b")), parts, scratch)
-        members = scratch.stored(_left(at, leaders, results, comps, scratch, parts), "left", parts)
-        if rounds == 0:
-            if members.isEmpty():
-                return comps
-            rest = scratch.stored(members.join(_large(members), "bucket", "left_semi"), "rest", parts)
-        rounds, each = rounds + 1, LEADERS * 4 ** max(0, rounds - 2)
-        if rounds <= 2 and not members.isEmpty():
-            members = scratch.stored(_dealt(members), "dealt", parts)
+        first = results is None
+        results = found if first else results.unionByName(found)
+        members = scratch.stored(_left(at, ranked, results, comps, scratch, parts), "left", parts)
+        if first and not members.isEmpty():
+            members = scratch.stored(_narrowed(members, words, threshold, scratch), "narrowed", parts)
         if members.isEmpty():
-            if rest is None:
-                return comps
-            members = scratch.stored(_by_rare_words(rest, comps, words, threshold), "rare", parts)
-            if members.isEmpty():
-                return comps
-            rest, rounds, each = None, 3, LEADERS
+            return comps
+
+
+def _ranked(members: DataFrame, each: int) -> DataFrame:
+    """Members with their rank in their bucket and whether they lead: up to ``each``, those of small components first and none of the largest one."""
+    whole = Window.partitionBy("bucket")
+    sized = members.withColumn("c", F.count("*").over(Window.partitionBy("bucket", "comp")))
+    last = F.max(F.struct("c", "comp")).over(whole)["comp"]
+    ranked = sized.withColumns({"last": last, "rank": F.row_number().over(whole.orderBy("c", "comp", F.xxhash64("key"), "key"))})
+    return ranked.select("bucket", "key", "n", "comp", "rank", ((F.col("rank") <= each) & (F.col("comp") != F.col("last"))).alias("leads"))
 
 
 def _left(
-    at: DataFrame, leaders: DataFrame | None, results: DataFrame, comps: DataFrame, scratch: common.Scratch, parts: int
+    at: DataFrame, ranked: DataFrame | None, results: DataFrame, comps: DataFrame, scratch: common.Scratch, parts: int
 ) -> DataFrame:
     """Members that have to meet again in their bucket: not a leader, and not settled by one."""
     of = lambda end: comps.select(F.col("key").alias(end), F.col("comp").alias(f"c_{end}"))
@@ -416,30 +418,40 @@ def _left(
     )
     pairs = scratch.stored(pairs, "pair-state", parts)
     met = at.select("bucket", "key", "n", "lead")
-    unsettled = met.join(pairs.where("NOT same"), ["lead", "key"], "left_semi").select("bucket").distinct()
-    state = scratch.stored(met.join(unsettled, "bucket", "left_semi"), "unsettled", parts).join(pairs, ["lead", "key"])
+    if ranked is None:
+        unsettled = met.join(pairs.where("NOT same"), ["lead", "key"], "left_semi").select("bucket").distinct()
+        met = scratch.stored(met.join(unsettled, "bucket", "left_semi"), "unsettled", parts)
+        state = met.join(pairs, ["lead", "key"])
+    else:
+        state = scratch.stored(met.join(pairs.where("NOT same OR near"), ["lead", "key"]), "state", parts)
     # no text near b is farther from b than half of b's words
     reach = state.where("NOT same").groupBy("bucket", "lead").agg(F.min(F.col("d") - F.col("n") / 2).alias("reach"))
-    settled = F.col("same") & (F.col("reach").isNull() | (F.coalesce("near", F.lit(False)) & (F.col("d") < F.col("reach"))))
+    near = F.coalesce("near", F.lit(False))
     met = state.join(reach, ["bucket", "lead"], "left")
-    if leaders is None:  # members of a dealt bucket have met the leader of their salt only
-        several = state.groupBy("bucket").agg((F.min("lead") != F.max("lead")).alias("several"))
-        met, settled = met.join(several, "bucket"), settled & ~F.col("several")
+    if ranked is not None:
+        settled = met.where(F.col("same") & near & (F.col("reach").isNull() | (F.col("d") < F.col("reach")))).select("bucket", "key")
+        gone = settled.unionByName(ranked.where("leads").select("bucket", "key")).distinct()
+        now = comps.withColumnRenamed("comp", "now")
+        left = ranked.join(gone, ["bucket", "key"], "left_anti").join(now, "key", "left")
+        return _open(left.select("bucket", "key", "n", F.coalesce("now", "key").alias("comp")))
+    # members of a dealt bucket have met the leader of their salt only
+    settled = F.col("same") & (F.col("reach").isNull() | (near & (F.col("d") < F.col("reach"))))
+    several = state.groupBy("bucket").agg((F.min("lead") != F.max("lead")).alias("several"))
     left = (
-        met.withColumn("settled", settled)
+        met.join(several, "bucket").withColumn("settled", settled & ~F.col("several"))
         .groupBy("bucket", "key")
-        .agg(F.any_value("n").alias("n"), F.any_value("comp").alias("comp"), F.bool_or("same").alias("same"), F.bool_or("settled").alias("settled"))
+        .agg(F.any_value("n").alias("n"), F.any_value("comp").alias("comp"), F.bool_or("settled").alias("settled"))
         .where("NOT settled")
         .drop("settled")
     )
-    if leaders is not None:
-        left = left.join(leaders.select("bucket", F.col("lead").alias("key")), ["bucket", "key"], "left_anti")
     return _open(left)
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components."""
-    several = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    """Members of buckets that still hold several components; buckets of the same members are one."""
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"x{i}") for i in range(2)]
+    several = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *same).where("lo <> hi")
+    several = several.groupBy("m", "x0", "x1").agg(F.min("bucket").alias("bucket"))
     return members.join(several.select("bucket"), "bucket", "left_semi")
 
 
@@ -484,36 +496,19 @@ def _prefixes(words: DataFrame, threshold: float) -> DataFrame:
     return words.select("key", "words").mapInArrow(rarest, "key long, tokens array<long>")
 
 
-def _by_rare_words(rest: DataFrame, comps: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Members of larger buckets in a bucket for each of their rarest words, if components still meet there."""
-    at = rest.select("bucket", "key", "n").join(comps, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "same": F.lit(False)})
-    at = _open(at)
-    own = _prefixes(words.join(at.select("key").distinct(), "key", "left_semi"), threshold)
-    met = at.join(own, "key").withColumn("token", F.explode("tokens")).withColumn("bucket", F.xxhash64("bucket", "token"))
-    return _open(met.select(rest.columns))
+def _narrowed(members: DataFrame, words: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
+    """Small buckets as they are; members of larger ones in a bucket for each of their rarest words.
 
-
-def _dealt(members: DataFrame) -> DataFrame:
-    """Small buckets as they are; members of larger ones in a bucket for every two of their larger buckets.
-
-    A pair that also shares a small bucket has met there.  A member of more than
-    ``ALL_PAIRS`` larger buckets takes each with the next ones in hash order, which
-    are the same for members that share them.
+    Only buckets in which several components meet.
     """
     large = _large(members)
     small = members.join(large, "bucket", "left_anti")
-    values = [c for c in members.columns if c not in ("bucket", "key", "same")]
-    own = (
-        members.join(large, "bucket", "left_semi")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list("bucket")).alias("b"), F.bool_and("same").alias("same"), *[F.any_value(c).alias(c) for c in values])
-    )
-    more = (
-        own.select("*", F.posexplode("b").alias("i", "b1"))
-        .withColumn("b2", F.explode(F.slice("b", F.col("i") + 2, F.lit(ALL_PAIRS))))
-        .withColumn("bucket", F.xxhash64("b1", "b2"))
-    )
-    return small.unionByName(_open(more.select(small.columns)))
+    values = [c for c in members.columns if c not in ("bucket", "key")]
+    own = members.join(large, "bucket", "left_semi").groupBy("key").agg(*[F.any_value(c).alias(c) for c in values])
+    tokens = _prefixes(words.join(own.select("key"), "key", "left_semi"), threshold)
+    own = scratch.stored(own.join(tokens, "key"), "rarest")
+    met = own.withColumn("token", F.explode("tokens")).withColumn("bucket", F.xxhash64(F.lit("word"), "token"))
+    return small.unionByName(_open(met.select(members.columns)))
 
 
 def _joined(comps: DataFrame | None, edges: DataFrame, parts: int, scratch: common.Scratch) -> DataFrame:

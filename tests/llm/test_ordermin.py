@@ -158,6 +158,27 @@ def test_pairs_of_a_single_large_bucket_are_found(spark):
     assert len(set(comps.values())) == 9
 
 
+def test_texts_that_share_a_passage_only_do_not_meet_again(spark, monkeypatch):
+    """Sixty texts in one bucket: what is compared grows with the texts and the near pairs, not with all pairs."""
+    rows = []
+    for g in range(60):
+        w = [f"passage{j}" for j in range(20)] + [f"w{g}x{j}" for j in range(60)]
+        rows.append((10 * g, " ".join(w), "en", "a", 1))
+        if g % 10 == 0:
+            rows.append((10 * g + 1, " ".join(w[:-3] + ["changed"] * 3), "en", "a", 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    nodes = om.sketches(df).toPandas()
+    table = spark.createDataFrame(
+        [(500 + int(i), (int(i), int(h)), int(n), [7] + [1000 * int(i) + j for j in range(1, om.SKETCHES)]) for i, h, n in zip(nodes.doc_id, nodes.h, nodes.n)],
+        "key long, rep struct<doc_id: long, h: long>, n long, bands array<long>",
+    )
+    seen, inner = [], om._compared
+    monkeypatch.setattr(om, "_compared", lambda pairs, *a: seen.append(pairs.count()) or inner(pairs, *a))
+    comps = {r["key"]: r["comp"] for r in om.links(df, table, common.Scratch(spark, "test")).collect()}
+    assert len(comps) == 12 and all(comps[500 + 100 * g] == comps[501 + 100 * g] for g in range(6))
+    assert sum(seen) <= 4 * len(rows)
+
+
 def test_near_texts_share_a_rare_word(spark):
     rng = random.Random(7)
     texts = {}
