@@ -159,7 +159,7 @@ def test_pairs_of_a_single_large_bucket_are_found(spark):
 
 
 def test_texts_that_share_a_passage_only_do_not_meet_again(spark, monkeypatch):
-    """Sixty texts in one bucket: what is compared grows with the texts and the near pairs, not with all pairs."""
+    """Sixty texts in two buckets: what is compared grows with the texts and the near pairs, not with all pairs."""
     rows = []
     for g in range(60):
         w = [f"passage{j}" for j in range(20)] + [f"w{g}x{j}" for j in range(60)]
@@ -169,7 +169,7 @@ def test_texts_that_share_a_passage_only_do_not_meet_again(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     nodes = om.sketches(df).toPandas()
     table = spark.createDataFrame(
-        [(500 + int(i), (int(i), int(h)), int(n), [7] + [1000 * int(i) + j for j in range(1, om.SKETCHES)]) for i, h, n in zip(nodes.doc_id, nodes.h, nodes.n)],
+        [(500 + int(i), (int(i), int(h)), int(n), [7, 8] + [1000 * int(i) + j for j in range(2, om.SKETCHES)]) for i, h, n in zip(nodes.doc_id, nodes.h, nodes.n)],
         "key long, rep struct<doc_id: long, h: long>, n long, bands array<long>",
     )
     seen, inner = [], om._compared
